@@ -239,6 +239,21 @@ def _predictions(net: Network | None, key: str):
     return run
 
 
+def keep_recognised(docs: DataFrame, net: Network | None, least: float, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of ``docs``, all columns, whose text has a letter and a language of score ``least`` or more. No shuffle, no join."""
+
+    def run(batches):
+        predict = _predictions(net, key)
+        for b in batches:
+            view = pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in (key, text)], names=[key, "text"])
+            parts = list(predict([view]))
+            names = [x for p in parts for x in p.column(2).to_pylist()]
+            score = np.concatenate([p.column(3).to_numpy() for p in parts] or [np.zeros(0)])
+            yield b.filter(pa.array(np.array([x != "und" for x in names], bool) & (score >= least), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
