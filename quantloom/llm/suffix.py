@@ -114,12 +114,12 @@ class Fingerprints:
 # --- suffix arrays -----------------------------------------------------------
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of ``text`` in the order of their first ``depth`` bytes or more (Larsson-Sadakane).
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Positions of ``text`` in the order of their suffixes (Larsson-Sadakane).
 
     Ranks by 8 bytes come first; each round doubles the depth by sorting on the
     rank that many bytes on, only within groups that are not yet single. What lies
-    behind the end counts as least.
+    behind the end counts as least. The order is full, as Kasai's walk needs it.
     """
     n = len(text)
     wide = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
@@ -133,11 +133,11 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     h = 8
     group = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     rank[sa] = group
-    while h < depth:
+    while True:
         single = head & np.append(head[1:], True)
         open_at = np.flatnonzero(~single)  # places in sa of groups that hold more than one
         if not len(open_at):
-            break
+            return sa
         who = sa[open_at]
         follow = who + h
         second = np.where(follow < n, rank[np.minimum(follow, n - 1)], -1)
@@ -150,7 +150,6 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         group[open_at] = np.maximum.accumulate(np.where(split, open_at, 0))
         rank[sa[open_at]] = group[open_at]
         h *= 2
-    return sa
 
 
 def kasai(text: np.ndarray, sa: np.ndarray, cap: int, lanes: int = 4096) -> np.ndarray:
@@ -186,7 +185,7 @@ def kasai(text: np.ndarray, sa: np.ndarray, cap: int, lanes: int = 4096) -> np.n
 
 def window_classes(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows (their starts in ``text``) in suffix order, and for each whether it begins a class of equal windows."""
-    sa = suffix_array(text, WINDOW)
+    sa = suffix_array(text)
     lcp = kasai(text, sa, WINDOW)
     wanted = np.zeros(len(text), bool)
     wanted[starts] = True
