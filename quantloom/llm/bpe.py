@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import chunks, utf8
+from .pretokens import PATTERN, PretokenEncoder
 
 MAX_WORDS = 700_000  # pre-tokens kept per worker; beyond it the table starts anew
 LONG_WORD = 200  # longer pre-tokens are not kept
@@ -103,7 +104,17 @@ def library_encoder(path: str, pattern: str) -> WordEncoder:
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return WordEncoder(pattern, lambda words: [e.ids for e in t.encode_batch(words, add_special_tokens=False)])
+    encode = lambda words: [e.ids for e in t.encode_batch(words, add_special_tokens=False)]
+    if type(t.pre_tokenizer).__name__ == "ByteLevel" and not t.pre_tokenizer.add_prefix_space and t.normalizer is None:
+        # all that is left to do for a pre-token is the model's merging of its mapped bytes
+        model, mapped = t.model, dict(enumerate(byte_chars()))
+        encode = lambda words: [[x.id for x in model.tokenize(w.encode().decode("latin-1").translate(mapped))] for w in words]
+    return word_encoder(pattern, encode)
+
+
+def word_encoder(pattern: str, encode_words: Callable[[list[str]], list[list[int]]]):
+    """In numpy for the pattern it knows, else by the regex engine."""
+    return PretokenEncoder(encode_words) if pattern == PATTERN else WordEncoder(pattern, encode_words)
 
 
 def byte_chars() -> list[str]:
@@ -164,7 +175,7 @@ class PieceCodec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(read_ranks(path)))
         chars = byte_chars()
         mapped = {b: c for b, c in enumerate(chars)}
-        self.encoder = WordEncoder(pattern, lambda words: self.model.encode([w.encode().decode("latin-1").translate(mapped) for w in words], num_threads=1))
+        self.encoder = word_encoder(pattern, lambda words: self.model.encode([w.encode().decode("latin-1").translate(mapped) for w in words], num_threads=1))
         back = {c: b for b, c in enumerate(chars)}
         size = self.model.get_piece_size() - 1
         pieces = [bytes(back[c] for c in self.model.id_to_piece(k)) for k in range(size)]

@@ -160,14 +160,14 @@ def read_file(path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             yield docs, counts, code.unpack(files.read_range(f, at, length), n)
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids) with ids as little-endian unsigned 32-bit integers, ``end_id`` last."""
+def encoded(docs: DataFrame, path: str, pattern: str, end_id: int, dtype: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids) with ids as unsigned integers of ``dtype``, ``end_id`` last."""
     kind = dict(docs.dtypes)[key]
 
     def run(batches):
         def work(rows, ids, counts):
             out, n = _with_end(ids, counts, end_id)
-            return pa.RecordBatch.from_arrays([rows.column(0), binary_array(out.astype("<u4"), 4 * n)], names=[key, "ids"])
+            return pa.RecordBatch.from_arrays([rows.column(0), binary_array(out.astype(dtype), np.dtype(dtype).itemsize * n)], names=[key, "ids"])
 
         yield from bpe.encode_batches(batches, path, pattern, work)
 
@@ -190,13 +190,15 @@ def write_token_files(docs: DataFrame, path: str, pattern: str, vocabulary: int,
     counts by id (bounded by the vocabulary) and a line per file.
     """
     spark = docs.sparkSession
-    ids = stored(encoded(docs, path, pattern, end_id, key, text), "ids")
+    dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    width = np.dtype(dtype).itemsize
+    ids = stored(encoded(docs, path, pattern, end_id, dtype, key, text), "ids")
 
     def count(batches):
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
             data, _ = utf8(b.column(0))
-            total += np.bincount(data.view("<u4"), minlength=vocabulary)
+            total += np.bincount(data.view(dtype), minlength=vocabulary)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["id", "n"])
 
@@ -215,12 +217,12 @@ def write_token_files(docs: DataFrame, path: str, pattern: str, vocabulary: int,
             if out is None:
                 out = Writer(name, code)
             doc_ids = b.column(0).cast(pa.int64()).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
-            out.add(doc_ids, np.diff(off) // 4, data.view("<u4").astype(np.int32))
+            out.add(doc_ids, np.diff(off) // width, data.view(dtype).astype(np.int32))
         if out is not None:
             n_docs, n_ids = out.close()
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([name]), pa.array([n_docs]), pa.array([n_ids])], names=["part", "file", "docs", "ids"])
 
-    n_bytes = int(totals.sum()) * 2
+    n_bytes = int(totals.sum()) * width
     parts = ids.repartitionByRange(parts_for(n_bytes, FILE_BYTES), key).sortWithinPartitions(key, "ids")
     manifest = stored(parts.mapInArrow(write, "part long, file string, docs long, ids long"), "huffman-manifest")
     place, out = 0, []

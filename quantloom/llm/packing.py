@@ -22,7 +22,7 @@ from .common import binary_array, mix64, parts_for, stored, utf8
 from .huffman import _with_end
 
 DIMS, BITS = 3, 16
-RANGE_BYTES = 48 << 20  # ids in one range, about
+RANGE_BYTES = 24 << 20  # ids in one range, about
 SEQUENCES = 40  # bits of a sequence's number within its range
 
 
@@ -100,22 +100,25 @@ def pieces(counts: np.ndarray, length: int, first: int, used: int, last: bool, t
     return row, begin - (ends - counts)[row], n, first + sequence, begin - borders[sequence]
 
 
-def pack_by_curve(docs: DataFrame, path: str, pattern: str, end_id: int = 1, length: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_by_curve(docs: DataFrame, path: str, pattern: str, end_id: int = 1, length: int = 2048, key: str = "doc_id", text: str = "text", vocabulary: int = 1 << 16) -> DataFrame:
     """Pack all documents into sequences of at most ``length`` ids. A row per piece.
 
     Returns key, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids
     (the piece's ids, little-endian unsigned 32-bit) and curve_key. Null texts
     are the end id alone; equal documents lie side by side, those with equal keys
     too in the order of their ids; a null key is kept and sorts first; an empty
-    table gives no rows. Every id is in exactly one piece.
+    table gives no rows. Every id is in exactly one piece. ``vocabulary`` (ids are
+    below it) sets how wide ids are stored on the way.
     """
     kind = dict(docs.dtypes)[key]
+    dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    width = np.dtype(dtype).itemsize
 
     def encode(batches):
         def work(rows, ids, counts):
             keys = document_keys(ids, counts)
             out, n = _with_end(ids, counts, end_id)
-            return pa.RecordBatch.from_arrays([rows.column(0), pa.array(keys), binary_array(out.astype("<u4"), 4 * n)], names=["key", "curve_key", "ids"])
+            return pa.RecordBatch.from_arrays([rows.column(0), pa.array(keys), binary_array(out.astype(dtype), width * n)], names=["key", "curve_key", "ids"])
 
         yield from bpe.encode_batches(batches, path, pattern, work)
 
@@ -146,8 +149,7 @@ def pack_by_curve(docs: DataFrame, path: str, pattern: str, end_id: int = 1, len
 
         for b in batches:
             data, off = utf8(b.column(2))
-            data = data.view("<u4")
-            at, n = off // 4, np.diff(off) // 4
+            data, n = data.view(dtype).astype("<u4"), np.diff(off) // width
             held.append((b.select([0, 1]), n, data))
             size = sum(int(x[1].sum()) for x in held)
             if size < 8 * length:
