@@ -30,14 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, binary_array, chunks, mix64, stored, text_bytes, utf8
+from .common import binary_array, chunks, mix64, stored, text_bytes, utf8
 
 WINDOW, GRAM = 100, 20
 SPAN = WINDOW - GRAM + 1  # grams in a window
-ANCHOR_SHARD = 12 << 20  # text bytes for which one shard of anchors stands
-TEXT_SHARD = 12 << 20  # text bytes of one shard of documents
-OPEN_SHARD = 24 << 20  # text bytes for which one shard of open runs stands
-PART = 4 << 20  # bytes of open runs in one suffix array
+ANCHOR_SHARD = 8 << 20  # text bytes for which one shard of anchors stands
+TEXT_SHARD = 6 << 20  # text bytes of one shard of documents
+OPEN_SHARD = 4 << 20  # text bytes for which one shard of open runs stands
+CHUNK_BYTES = 1 << 20  # text bytes of one numpy pass
+PART = 1 << 20  # bytes of open runs in one suffix array
 WIDE = 4096  # different runs of one anchor, beyond which its windows are spread
 BITS = 1 << 26  # of the filter of documents that hold repeats: 8 MB at any size
 FIRST = -(2**63)  # stands for a null key, which sorts first
@@ -122,32 +123,36 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     behind the end counts as least. The order is full, as Kasai's walk needs it.
     """
     n = len(text)
-    wide = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+    wide = np.concatenate([text, np.zeros(8, np.uint8)])
     key = np.zeros(n, np.uint64)
     for k in range(8):
-        key = key << np.uint64(8) | wide[k : n + k]
-    sa = np.argsort(key, kind="stable")
-    sorted_key = key[sa]
-    head = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
-    rank = np.empty(n, np.int64)
-    h = 8
-    group = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+        key <<= np.uint64(8)
+        key |= wide[k : n + k]
+    sa = np.argsort(key).astype(np.int32)
+    key = key[sa]
+    head = np.ones(n, bool)
+    head[1:] = key[1:] != key[:-1]
+    group = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.int32), np.int32(0)))
+    rank = np.empty(n, np.int32)
     rank[sa] = group
+    h = 8
     while True:
-        single = head & np.append(head[1:], True)
-        open_at = np.flatnonzero(~single)  # places in sa of groups that hold more than one
+        single = head.copy()
+        single[:-1] &= head[1:]
+        open_at = np.flatnonzero(~single).astype(np.int32)  # places in sa of groups that hold more than one
         if not len(open_at):
             return sa
         who = sa[open_at]
-        follow = who + h
-        second = np.where(follow < n, rank[np.minimum(follow, n - 1)], -1)
-        by = np.lexsort((second, group[open_at]))
+        follow = who.astype(np.int64) + h
+        second = np.where(follow < n, rank[np.minimum(follow, n - 1)] + np.int64(1), 0)
+        second |= group[open_at].astype(np.int64) << 32
+        by = np.argsort(second)
         sa[open_at] = who[by]
         second = second[by]
-        old = group[open_at]
-        split = np.concatenate([[True], (old[1:] != old[:-1]) | (second[1:] != second[:-1])])
+        split = np.ones(len(by), bool)
+        split[1:] = second[1:] != second[:-1]
         head[open_at] = split
-        group[open_at] = np.maximum.accumulate(np.where(split, open_at, 0))
+        group[open_at] = np.maximum.accumulate(np.where(split, open_at, np.int32(0)))
         rank[sa[open_at]] = group[open_at]
         h *= 2
 
@@ -211,7 +216,7 @@ def first_places(text: np.ndarray, length: np.ndarray, windows: np.ndarray, orde
     where[begin] = np.arange(len(run))
     names, least, holder = np.zeros(0, f"S{WINDOW}"), np.zeros(0, np.int64), np.zeros(0, np.int64)
     several = len(text) > PART + (PART >> 1)
-    for i, j in chunks(np.append(base, len(text)), PART):
+    for i, j in chunks(np.append(base, len(text)), PART) if several else [(0, len(base))]:
         lo, hi = int(base[i]), int(base[j - 1] + length[j - 1])
         some = np.flatnonzero((run >= i) & (run < j)) if several else np.arange(len(run))
         places, head = window_classes(text[lo:hi], begin[some] - lo)
@@ -248,7 +253,7 @@ def first_places(text: np.ndarray, length: np.ndarray, windows: np.ndarray, orde
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """Pieces of a batch (key, text): (rows, place of each piece in its text, data, offsets); a very long text comes in pieces that overlap by WINDOW - 1."""
     data, off = utf8(batch.column(1))
-    for i, j in chunks(off):
+    for i, j in chunks(off, CHUNK_BYTES):
         if off[j] - off[i] <= 2 * CHUNK_BYTES:
             yield batch.slice(i, j - i), np.zeros(j - i, np.int64), data[off[i] : off[j]], off[i : j + 1] - off[i]
             continue
