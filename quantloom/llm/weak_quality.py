@@ -2,7 +2,8 @@
 
 Every rule votes good (1), bad (-1) or abstains (0). The model: a document is good
 with probability ``prior``; a rule that votes is right with probability
-``accuracy`` (its own for good and for bad documents). Votes form at most 3**RULES
+``accuracy`` (its own for good and for bad documents: junk of one kind passes the
+rules against other kinds). Votes form at most 3**RULES
 patterns, so EM runs on exact counts of patterns over all documents, a table of
 bounded size; the posterior of a pattern then decides its documents.
 """
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import by_chunk, utf8
 from .words import Words
 
+LEAST_RIGHT = 0.995  # of a rule's votes on good documents
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: (name, good if the value is at most, bad if it is above) on a share per word or line
 RULES = (
@@ -112,11 +114,12 @@ def voted(features: DataFrame) -> DataFrame:
 def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
     """(prior, accuracy[rule, good/bad], posterior of each pattern).
 
-    Accuracies start at 0.8 and keep within 0.55 and 0.999, so a rule never turns
-    around and "good" keeps its meaning; a weak beta prior (4 right, 1 wrong)
-    holds for rules that hardly vote.
+    Accuracies start at 0.95 on good documents and 0.35 on bad ones, and stay at
+    LEAST_RIGHT or more on good ones: rules may miss junk but seldom accuse, so a
+    frequent accusation speaks of bad documents and not of a bad rule. A weak beta
+    prior holds for rules that hardly vote.
     """
-    prior, accuracy = 0.7, np.full((votes.shape[1], 2), 0.8)
+    prior, accuracy = 0.8, np.tile([0.95, 0.35], (votes.shape[1], 1))
     good, bad = votes > 0, votes < 0
     posterior = np.full(len(votes), prior)
     for _ in range(rounds):
@@ -128,8 +131,8 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int
         if done:
             break
         p, q = counts * posterior, counts * (1 - posterior)
-        prior = float(np.clip((p.sum() + 7) / (counts.sum() + 10), 0.01, 0.99))
-        accuracy = np.stack([(p @ good + 4) / (p @ (good | bad) + 5), (q @ bad + 4) / (q @ (good | bad) + 5)], 1).clip(0.55, 0.999)
+        prior = float(np.clip((p.sum() + 8) / (counts.sum() + 10), 0.01, 0.99))
+        accuracy = np.stack([(p @ good + 9.5) / (p @ (good | bad) + 10), (q @ bad + 3.5) / (q @ (good | bad) + 10)], 1).clip([LEAST_RIGHT, 0.02], 0.9995)
     return prior, accuracy, posterior
 
 
