@@ -8,12 +8,13 @@ similar pair is expected to stay together once a level), chosen by the branch's
 path, the same for all its nodes. Trees are independent; TREES of them bring the
 chance to miss a pair at the threshold below 1e-5. Small branches are compared
 exhaustively on sketches, and what may be similar is confirmed on the full sets.
-
-Only connectivity is asked for. So a first round confirms one pair per node (the
-most similar leader of its branches), and a second round compares all pairs of a
-branch whose ends the first round has not joined. A branch that DEPTH levels
-cannot split (very many near copies) is linked to its leader the same way; nodes
-outside its largest component are then compared with the whole branch in blocks.
+What sketches connect is a family; full sets are gathered once per family, not per
+pair, and compared all with all by a product of 0/1 matrices. Only connectivity
+is asked for, so a family gives at most a link per node. A large branch of mostly
+near copies, which no level would split, is connected through its leader. In a
+family of over FAMILY nodes each node is confirmed with its most similar leader
+first, and then only nodes outside the largest component are compared with the
+whole family, block by block.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from .components import components
 from .words import Words
 
 COORDS, TREES, SMALL, DEPTH = 128, 16, 128, 6
+FAMILY = 512  # nodes that are compared all with all in one task
 MARGIN = 0.17  # a sketch may fall short of the threshold by this (4.8 standard deviations of 128 coordinates)
 BITS = 1 << 26  # of the filter of the documents whose sets are needed: 8 MB at any size
 
@@ -83,27 +85,54 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 
-def branches(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
-    """Tables (path, node, size) of small branches of two nodes or more, and one of those that stay large, or None."""
+def branches(nodes: DataFrame, least: float) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+    """Tables of small branches (path, node), of large ones that no level would split (path, node), and pairs (a, b, est) of a large branch's nodes with its leader.
+
+    A large branch whose nodes are mostly alike is taken out of the tree at once:
+    further tokens would keep it together. Others branch on, up to DEPTH levels.
+    """
     sig = F.col("sig")
+    thin = nodes.select("node", "sketch")
     roots = F.array(*(F.xxhash64(F.lit(r), F.substring(sig, 4 * r + 1, 4)) for r in range(TREES)))
     level = nodes.select("node", F.explode(roots).alias("path"))
     small: list[DataFrame] = []
+    whole: list[DataFrame] = []
+    pairs: list[DataFrame] = []
     for depth in range(DEPTH + 1):
         sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         held = stored(level.join(sizes, "path").select("path", "node", "size"), "branches")
-        small.append(held.filter(F.col("size") <= SMALL))
-        large = held.filter(F.col("size") > SMALL)
+        small.append(held.filter(F.col("size") <= SMALL).select("path", "node"))
+        large = held.filter(F.col("size") > SMALL).select("path", "node")
         if large.isEmpty():
-            return small, None
-        if depth == DEPTH:
-            return small, large
-        wide = large.select("path", "node").join(nodes.select("node", "sig"), "node")
+            break
+        lead = large.groupBy("path").agg(F.min("node").alias("lead"))
+        lead = lead.join(thin.select(F.col("node").alias("lead"), F.col("sketch").alias("other")), "lead")
+        near = stored(large.join(thin, "node").join(lead, "path").select("path", "lead", "node", "sketch", "other").mapInArrow(_against, "path long, a long, b long, est double"), "leaders")
+        pairs.append(near.filter((F.col("est") >= least) & (F.col("a") != F.col("b"))).select("a", "b", "est"))
+        alike = near.groupBy("path").agg(F.avg(F.when(F.col("est") >= least, 1.0).otherwise(0.0)).alias("share"))
+        done = alike.filter(F.lit(depth == DEPTH) | (F.col("share") >= 0.5)).select("path")
+        whole.append(near.join(done, "path", "left_semi").select("path", F.col("b").alias("node")))
+        wide = near.join(done, "path", "left_anti").select("path", F.col("b").alias("node")).join(nodes.select("node", "sig"), "node")
         at = lambda j: F.pmod(F.xxhash64("path", F.lit(j)), F.lit(COORDS)).cast("int")
         child = lambda j: F.xxhash64(F.col("path"), F.lit(j), F.substring(sig, 4 * at(j) + 1, F.lit(4)))
         one, two = F.array(child(1)), F.array(child(1), child(2))
         level = wide.select("node", F.explode(F.when(F.pmod(F.xxhash64("path", F.lit(3)), F.lit(4)) == 0, two).otherwise(one)).alias("path"))
-    raise AssertionError
+    return small, whole, pairs
+
+
+def _against(batches):
+    """(path, lead, node, sketch, other) to (path, lead, node, estimate)."""
+    for b in batches:
+        x, y = (utf8(b.column(k))[0].reshape(-1, COORDS) for k in (3, 4))
+        est = ((x == y).mean(1) - 1 / 256) * (256 / 255)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(est)], names=["path", "a", "b", "est"])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -169,36 +198,79 @@ def _pair_batch(out: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(e, pa.float64())], names=["a", "b", "est"])
 
 
-def _rest(least: float):
-    """In each small branch or block: all pairs of different components that may be similar. Columns path, node, sketch, component, side (0: against all, 1: only against side 0)."""
+def exact_links(batches, percent: int):
+    """Groups of (group, node, side, items): links (a, b) that connect what is similar on full sets.
 
-    def run(batches):
-        for rows, starts in whole_groups(batches):
-            node, comp, side = (rows.column(k).to_numpy() for k in (1, 3, 4))
-            sketch = utf8(rows.column(2))[0].reshape(-1, COORDS)
-            out: list = []
-            for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                if (comp[i:j] == comp[i]).all():
-                    continue
-                for k in i + np.flatnonzero(side[i:j] == 0):
-                    others = np.arange(i, j)
-                    others = others[(comp[others] != comp[k]) & ((side[others] == 1) | (node[others] > node[k]))]
-                    if len(others):
-                        est = _alike(sketch[k], sketch[others])
-                        out += [(int(min(node[k], node[m])), int(max(node[k], node[m])), float(e)) for m, e in zip(others[est >= least], est[est >= least], strict=True)]
-                if len(out) > 20_000:
-                    yield _pair_batch(out)
-                    out = []
-            if out:
-                yield _pair_batch(out)
+    Rows of side 0 are compared with all rows of their group. Intersections of
+    all pairs at once are a product of the 0/1 matrix of sets and shared tokens,
+    taken in slices of bounded size. A group gives at most one link per node.
+    """
+    for rows, starts in whole_groups(batches):
+        node, side = rows.column(1).to_numpy(), rows.column(2).to_numpy()
+        data, off = utf8(rows.column(3))
+        data, off = data.view(np.uint64), off // 8
+        out_a, out_b = [], []
+        for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            head = np.flatnonzero(side[i:j] == 0)
+            if j - i < 2 or not len(head):
+                continue
+            size = np.diff(off[i : j + 1])
+            if j - i == 2:
+                both = np.sort(data[off[i] : off[j]])
+                shared = np.array([[0, int((both[1:] == both[:-1]).sum())]])
+                head = head[:1]
+                if head[0] == 1:
+                    shared = shared[:, ::-1]
+            else:
+                shared = _shared(data[off[i] : off[j]], np.repeat(np.arange(j - i), size), head, j - i)
+            alike = 100 * shared >= percent * (size[head][:, None] + size[None, :] - shared)
+            alike[np.arange(len(head)), head] = False
+            label = np.arange(j - i)
+            while True:  # least label of a node's similar ones, both ways, until nothing changes
+                new = label.copy()
+                np.minimum(new[head], np.where(alike, label[None, :], j - i).min(1), out=(low := new[head]))
+                new[head] = low
+                np.minimum(new, np.where(alike, new[head][:, None], j - i).min(0), out=new)
+                if (new == label).all():
+                    break
+                label = new
+            joined = np.flatnonzero(label != np.arange(j - i))
+            out_a += node[i:j][label[joined]].tolist()
+            out_b += node[i:j][joined].tolist()
+        if out_a:
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+
+def _shared(items: np.ndarray, row: np.ndarray, head: np.ndarray, rows: int) -> np.ndarray:
+    """(head, rows): sizes of intersections."""
+    order = np.argsort(items)
+    items, row = items[order], row[order]
+    new = np.ones(len(items), bool)
+    new[1:] = items[1:] != items[:-1]
+    token = np.cumsum(new) - 1
+    common = np.bincount(token)[token] > 1  # what only one set has is in no intersection
+    token, row = token[common], row[common]
+    out = np.zeros((len(head), rows), np.int64)
+    if not len(token):
+        return out
+    starts = np.ones(len(token), bool)
+    starts[1:] = token[1:] != token[:-1]
+    token = np.cumsum(starts) - 1
+    wide = max(64, (4 << 20) // rows)
+    for lo in range(0, int(token[-1]) + 1, wide):
+        a, b = np.searchsorted(token, [lo, lo + wide])
+        m = np.zeros((rows, wide), np.float32)
+        m[row[a:b], token[a:b] - lo] = 1
+        out += np.rint(m[head] @ m.T).astype(np.int64)
+    return out
 
-    return run
 
+def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, items) of the nodes in ``wanted``, from the texts of their representatives.
 
-def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets have ``100 * intersection >= percent * union``."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct()
-    wanted = stored(nodes.select("node", "rep").join(ends, "node"), "wanted")
+    A filter of BITS bits, of one size whatever the input, spares the other texts.
+    """
+    wanted = stored(nodes.select("node", "rep").join(wanted.select("node").distinct(), "node"), "wanted")
     maps = wanted.groupBy(F.expr(f"bitmap_bucket_number(pmod(xxhash64(rep), {BITS}l) + 1)").alias("at")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position(pmod(xxhash64(rep), {BITS}l) + 1))").alias("bits")).collect()
     filled = np.zeros(BITS // 8 + 8192, np.uint8)
     for r in maps:  # 4 KB each, BITS bits at most
@@ -217,7 +289,12 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int,
             yield from by_chunk([kept.select([0, 1])], "text", work)
 
     keyed = docs.withColumn("bit", F.expr(f"bitmap_bit_position(pmod(xxhash64(doc_id), {BITS}l) + 1) + (bitmap_bucket_number(pmod(xxhash64(doc_id), {BITS}l) + 1) - 1) * 32768"))
-    items = keyed.mapInArrow(sets, "rep long, node long, items binary").join(wanted, ["rep", "node"], "left_semi").groupBy("node").agg(F.first("items").alias("items"))
+    return keyed.mapInArrow(sets, "rep long, node long, items binary").join(wanted, ["rep", "node"], "left_semi").groupBy("node").agg(F.first("items").alias("items"))
+
+
+def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full sets have ``100 * intersection >= percent * union``."""
+    items = full_sets(docs, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))), shingle)
     full = pairs.select("a", "b").join(items.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
 
     def check(batches):
@@ -246,40 +323,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = stored(sketched(source, shingle), "sketches")
     nodes = stored(rows.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "sig", "sketch")).alias("x")).select("node", F.col("x.doc_id").alias("rep"), "x.sig", "x.sketch"), "nodes")
-    small, large = branches(nodes)
     least = percent / 100 - MARGIN
+    small, whole, leaders = branches(nodes, least)
     thin = nodes.select("node", "sketch")
-    parts = [s.select("path", "node") for s in small]
-    in_small = parts[0]
-    for p in parts[1:]:
-        in_small = in_small.union(p)
-    members = stored(in_small.join(thin, "node").select("path", "node", "sketch"), "members")
+    members = stored(_union(small).join(thin, "node").select("path", "node", "sketch"), "members")
     by_path = lambda df: df.repartition("path").sortWithinPartitions("path")
-    star = by_path(members).mapInArrow(_star(least), _pairs_schema())
-    if large is not None:
-        lead = large.groupBy("path").agg(F.min("node").alias("lead"))
-        to_lead = large.select("path", "node").join(lead, "path").filter("node <> lead").select("lead", "node").distinct()
-        wide = to_lead.join(thin, "node").join(thin.select(F.col("node").alias("lead"), F.col("sketch").alias("other")), "lead")
-
-        def against(batches):
-            for b in batches:
-                x, y = (utf8(b.column(k))[0].reshape(-1, COORDS) for k in (2, 3))
-                est = ((x == y).mean(1) - 1 / 256) * (256 / 255)
-                keep = pa.array(est >= least)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(est)], names=["a", "b", "est"]).filter(keep)
-
-        star = star.union(wide.select("lead", "node", "sketch", "other").mapInArrow(against, _pairs_schema()))
-    first = stored(star.groupBy("b").agg(F.max(F.struct("est", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b"), "pairs")
-    links = stored(confirmed(source, nodes, first, shingle, percent), "confirmed")
+    star = _union([by_path(members).mapInArrow(_star(least), _pairs_schema()), *leaders])
+    pairs = stored(star.groupBy("a", "b").agg(F.max("est").alias("est")), "pairs")
+    # a family is what sketches connect: all pairs that may be similar lie within one
+    family = stored(components(pairs).withColumnRenamed("component", "family"), "families")
+    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("k"))
+    placed = stored(family.join(sizes, "family"), "families")
+    few = placed.filter(F.col("k") <= FAMILY)
+    items = full_sets(source, nodes, few, shingle).join(few.select("node", "family"), "node")
+    exact = lambda batches: exact_links(batches, percent)
+    grouped = lambda df: df.repartition("group").sortWithinPartitions("group").mapInArrow(exact, "a long, b long")
+    links = grouped(items.select(F.col("family").alias("group"), "node", F.lit(0).alias("side"), "items"))
+    many = placed.filter(F.col("k") > FAMILY)
+    if not many.isEmpty():
+        links = links.union(_large_families(source, nodes, pairs, many, shingle, percent, grouped))
     found = stored(components(links), "components")
-    named = lambda df: df.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rest = by_path(named(members).select("path", "node", "sketch", "component", F.lit(0).alias("side"))).mapInArrow(_rest(least), _pairs_schema())
-    if large is not None:
-        rest = rest.union(_blocks(named(large.select("path", "node").join(thin, "node")), least))
-    second = stored(rest.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    if not second.isEmpty():
-        more = confirmed(source, nodes, second, shingle, percent)
-        found = stored(components(links.union(more)), "components")
     # a component's name is the least key among the documents of its nodes
     placed = nodes.select("node", "rep").join(found, "node")
     names = placed.groupBy("component").agg(F.min("rep").alias("name"))
@@ -290,16 +353,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), name.alias("component_id"), F.coalesce(name == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _blocks(members: DataFrame, least: float) -> DataFrame:
-    """Pairs of a large branch between nodes outside its largest component and all its nodes: the branch in blocks, those nodes copied to each."""
-    sizes = members.groupBy("path", "component").agg(F.count(F.lit(1)).alias("k"))
-    most = sizes.groupBy("path").agg(F.max(F.struct("k", "component")).alias("x"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    m = members.join(most.select("path", F.col("x.component").alias("main"), F.ceil(F.col("n") / (4 * SMALL)).cast("int").alias("blocks")), "path")
-    outside = F.col("component") != F.col("main")
-    fixed = m.select(F.xxhash64("path", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("path"), "node", "sketch", "component", F.lit(1).alias("side")).filter(F.lit(True))
-    copied = m.filter(outside).select("path", "node", "sketch", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"))
-    copied = copied.select(F.xxhash64("path", F.col("at").cast("long")).alias("path"), "node", "sketch", "component", F.lit(0).alias("side"))
-    both = fixed.union(copied)
-    return both.repartition("path").sortWithinPartitions("path").mapInArrow(_rest(least), _pairs_schema()).filter("a <> b")
-
-
+def _large_families(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, many: DataFrame, shingle: int, percent: int, grouped) -> DataFrame:
+    """Links of families of over FAMILY nodes: each node with its most similar leader first, then all nodes outside a family's largest component with the whole family, in blocks."""
+    best = pairs.join(many.select(F.col("node").alias("b")), "b").groupBy("b").agg(F.max(F.struct("est", "a")).alias("x")).select("x.a", "b")
+    first = stored(confirmed(docs, nodes, best, shingle, percent), "confirmed")
+    found = components(first)
+    m = stored(many.join(found, "node", "left").select("node", "family", "k", F.coalesce("component", "node").alias("component")), "large")
+    sizes = m.groupBy("family", "component").agg(F.count(F.lit(1)).alias("c"))
+    most = sizes.groupBy("family").agg(F.max(F.struct("c", "component")).alias("x"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    blocks = lambda n: F.ceil(n / FAMILY).cast("int")
+    plan = most.select("family", F.col("x.component").alias("main"), blocks(F.col("n")).alias("all_blocks"), blocks(F.col("n") - F.col("x.c")).alias("out_blocks"))
+    items = full_sets(docs, nodes, m.join(plan, "family", "left_semi"), shingle)
+    rows = m.join(plan, "family").join(items, "node")
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    group = lambda a, b: F.xxhash64("family", a, b).alias("group")
+    fixed = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1))).select(group(own(F.col("all_blocks")), F.col("j")), "node", F.lit(1).alias("side"), "items")
+    outside = rows.filter(F.col("component") != F.col("main")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)))
+    copied = outside.select(group(F.col("i"), own(F.col("out_blocks"))), "node", F.lit(0).alias("side"), "items")
+    return first.union(grouped(fixed.union(copied)))
