@@ -17,11 +17,6 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.3  # of four languages, one drawn by chance has 0.25
 
 
-def _verdict(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``kept``."""
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the language network rejects: no letters, or no language it is any surer of than of others."""
     net = language.train(docs)
@@ -31,14 +26,18 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the least doc_id (five-word shingles, similarity 0.8)."""
     verdict = near_dup.near_duplicates(docs, shingle=5, percent=80)
-    return docs.join(verdict.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    kept = docs.join(verdict.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    # rows that repeat a doc_id and its text are copies as well; there are few, so only they are compared
+    twice = stored(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
+    if twice.isEmpty():
+        return kept
+    return kept.join(twice, "doc_id", "left_anti").select(*COLUMNS).union(kept.join(twice, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"]))
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop repeated passages from texts, keeping their first place; a text of which nothing is left goes."""
     out = suffix.remove_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("kept"))
-    whole = out.select("doc_id", text.alias("text"), F.col("other.lang").alias("lang"), F.col("other.source").alias("source"), "n_removed")
+    whole = out.select("doc_id", F.col("kept").alias("text"), F.col("other.lang").alias("lang"), F.col("other.source").alias("source"), "n_removed")
     left = whole.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
