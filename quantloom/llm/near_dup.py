@@ -32,6 +32,7 @@ from .components import components
 from .words import Words
 
 COORDS, TREES, SMALL, DEPTH = 128, 16, 128, 6
+LEADERS = 4  # of a large branch
 FAMILY = 512  # nodes that are compared all with all in one task
 MARGIN = 0.17  # a sketch may fall short of the threshold by this (4.8 standard deviations of 128 coordinates)
 BITS = 1 << 26  # of the filter of the documents whose sets are needed: 8 MB at any size
@@ -86,7 +87,7 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def branches(nodes: DataFrame, least: float) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
-    """Tables of small branches (path, node), of large ones that no level would split (path, node), and pairs (a, b, est) of a large branch's nodes with its leader.
+    """Tables of small branches (path, node), of large ones that no level would split (path, a: leader, b: node, est), and pairs (a, b, est) of a large branch's nodes with its most similar leader.
 
     A large branch whose nodes are mostly alike is taken out of the tree at once:
     further tokens would keep it together. Others branch on, up to DEPTH levels.
@@ -105,13 +106,16 @@ def branches(nodes: DataFrame, least: float) -> tuple[list[DataFrame], list[Data
         large = held.filter(F.col("size") > SMALL).select("path", "node")
         if large.isEmpty():
             break
-        lead = large.groupBy("path").agg(F.min("node").alias("lead"))
+        chosen = F.array_distinct(F.array(*(F.min_by("node", F.xxhash64("node", "path", F.lit(i))) for i in range(LEADERS))))
+        lead = large.groupBy("path").agg(chosen.alias("all")).select("path", F.explode("all").alias("lead"))
         lead = lead.join(thin.select(F.col("node").alias("lead"), F.col("sketch").alias("other")), "lead")
-        near = stored(large.join(thin, "node").join(lead, "path").select("path", "lead", "node", "sketch", "other").mapInArrow(_against, "path long, a long, b long, est double"), "leaders")
-        pairs.append(near.filter((F.col("est") >= least) & (F.col("a") != F.col("b"))).select("a", "b", "est"))
+        lead = lead.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("lead", "other"))).alias("leads"))  # LEADERS at most
+        near = stored(large.join(thin, "node").join(lead, "path").select("path", "node", "sketch", "leads.lead", "leads.other").mapInArrow(_against(least), "path long, a long, b long, est double, best boolean"), "leaders")
+        pairs.append(near.filter(F.col("est") >= least).select("a", "b", "est"))
+        near = near.filter("best")
         alike = near.groupBy("path").agg(F.avg(F.when(F.col("est") >= least, 1.0).otherwise(0.0)).alias("share"))
         done = alike.filter(F.lit(depth == DEPTH) | (F.col("share") >= 0.5)).select("path")
-        whole.append(near.join(done, "path", "left_semi").select("path", F.col("b").alias("node")))
+        whole.append(near.join(done, "path", "left_semi"))
         wide = near.join(done, "path", "left_anti").select("path", F.col("b").alias("node")).join(nodes.select("node", "sig"), "node")
         at = lambda j: F.pmod(F.xxhash64("path", F.lit(j)), F.lit(COORDS)).cast("int")
         child = lambda j: F.xxhash64(F.col("path"), F.lit(j), F.substring(sig, 4 * at(j) + 1, F.lit(4)))
@@ -120,12 +124,55 @@ def branches(nodes: DataFrame, least: float) -> tuple[list[DataFrame], list[Data
     return small, whole, pairs
 
 
-def _against(batches):
-    """(path, lead, node, sketch, other) to (path, lead, node, estimate)."""
-    for b in batches:
-        x, y = (utf8(b.column(k))[0].reshape(-1, COORDS) for k in (3, 4))
-        est = ((x == y).mean(1) - 1 / 256) * (256 / 255)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(est)], names=["path", "a", "b", "est"])
+def _against(least: float):
+    """(path, node, sketch, leaders, their sketches) to (path, other leader, node, estimate, best): those of ``least`` or more, and the best in any case."""
+
+    def run(batches):
+        for b in batches:
+            node = b.column(1).to_numpy()
+            sketch = utf8(b.column(2))[0].reshape(-1, COORDS)
+            count = np.diff(b.column(3).offsets.to_numpy())
+            lead = b.column(3).flatten().to_numpy()
+            other = utf8(b.column(4).flatten())[0].reshape(-1, COORDS)
+            row = np.repeat(np.arange(len(node)), count)
+            est = np.where(lead == node[row], -1.0, ((sketch[row] == other).mean(1) - 1 / 256) * (256 / 255))
+            order = np.lexsort((lead, -est, row))
+            best = np.zeros(len(lead), bool)
+            best[order[np.cumsum(count) - count]] = True
+            keep = np.flatnonzero(best | (est >= least))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[keep])), pa.array(lead[keep]), pa.array(node[row[keep]]), pa.array(est[keep]), pa.array(best[keep])], names=["path", "a", "b", "est", "best"])
+
+    return run
+
+
+def _beyond(whole: DataFrame, thin: DataFrame, least: float) -> DataFrame:
+    """Pairs of a large branch's nodes that no leader is like with the branch, in blocks: a node has one pair per block and leader of what it is like."""
+    near = F.col("est") >= least
+    marked = whole.select("path", F.col("b").alias("node"), F.when(near, F.col("a")).otherwise(F.col("b")).alias("lead"), (~near).alias("out"))
+    sizes = marked.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / FAMILY).cast("int").alias("blocks"), F.ceil(F.count(F.when(F.col("out"), 1)) / FAMILY).cast("int").alias("outs")).filter("outs > 0")
+    rows = marked.join(sizes, "path").join(thin, "node")
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    group = lambda a, b: F.xxhash64("path", a, b).alias("path")
+    fixed = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("outs") - 1))).select(group(own(F.col("blocks")), F.col("j")), "node", "sketch", "lead", F.lit(1).alias("side"))
+    copied = rows.filter("out").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(group(F.col("i"), own(F.col("outs"))), "node", "sketch", "lead", F.lit(0).alias("side"))
+
+    def run(batches):
+        for rows, starts in whole_groups(batches):
+            node, lead, side = (rows.column(k).to_numpy() for k in (1, 3, 4))
+            sketch = utf8(rows.column(2))[0].reshape(-1, COORDS)
+            out: list = []
+            for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                fixed = i + np.flatnonzero(side[i:j] == 1)
+                for k in i + np.flatnonzero(side[i:j] == 0):
+                    est = _alike(sketch[k], sketch[fixed]) if len(fixed) else np.zeros(0)
+                    hit = np.flatnonzero((est >= least) & (node[fixed] != node[k]))
+                    if len(hit):
+                        _, one = np.unique(lead[fixed[hit]], return_index=True)
+                        out += [(int(min(node[k], node[m])), int(max(node[k], node[m])), float(e)) for m, e in zip(fixed[hit[one]], est[hit[one]], strict=True)]
+            if out:
+                yield _pair_batch(out)
+
+    return fixed.union(copied).repartition("path").sortWithinPartitions("path").mapInArrow(run, _pairs_schema())
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -172,21 +219,34 @@ def _pairs_schema():
 
 
 def _star(least: float):
-    """In each small branch: every node with the first leader it may be similar to; nodes without one become leaders."""
+    """In each small branch all pairs are compared on sketches; each connected part gives a pair of its least node with every other."""
 
     def run(batches):
         for rows, starts in whole_groups(batches):
             node = rows.column(1).to_numpy()
             sketch = utf8(rows.column(2))[0].reshape(-1, COORDS)
             out: list = []
+            two = starts[:-1][np.diff(starts) == 2]
+            est = ((sketch[two] == sketch[two + 1]).mean(1) - 1 / 256) * (256 / 255)
+            for k, e in zip(two[est >= least].tolist(), est[est >= least].tolist(), strict=True):
+                out.append((int(min(node[k], node[k + 1])), int(max(node[k], node[k + 1])), e))
             for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if j - i < 3:
+                    continue
                 order = i + np.argsort(node[i:j])
-                left = order
-                while len(left) > 1:
-                    est = _alike(sketch[left[0]], sketch[left[1:]])
-                    near = est >= least
-                    out += [(int(node[left[0]]), int(node[k]), float(e)) for k, e in zip(left[1:][near], est[near], strict=True)]
-                    left = left[1:][~near]
+                s = sketch[order]
+                alike = np.stack([_alike(x, s) for x in s]) >= least
+                np.fill_diagonal(alike, True)
+                if alike.sum() == len(s):
+                    continue
+                label = np.arange(len(s))
+                while True:
+                    new = np.where(alike, label, len(s)).min(1)
+                    if (new == label).all():
+                        break
+                    label = new
+                joined = np.flatnonzero(label != np.arange(len(s)))
+                out += [(int(node[order[label[k]]]), int(node[order[k]]), float(_alike(s[k], s[label[k]][None, :])[0])) for k in joined]
             if out:
                 yield _pair_batch(out)
 
@@ -234,8 +294,10 @@ def exact_links(batches, percent: int):
                 if (new == label).all():
                     break
                 label = new
-            joined = np.flatnonzero(label != np.arange(j - i))
-            out_a += node[i:j][label[joined]].tolist()
+            name = np.full(j - i, np.iinfo(np.int64).max)
+            np.minimum.at(name, label, node[i:j])
+            joined = np.flatnonzero(name[label] != node[i:j])
+            out_a += name[label[joined]].tolist()
             out_b += node[i:j][joined].tolist()
         if out_a:
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
@@ -329,6 +391,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     members = stored(_union(small).join(thin, "node").select("path", "node", "sketch"), "members")
     by_path = lambda df: df.repartition("path").sortWithinPartitions("path")
     star = _union([by_path(members).mapInArrow(_star(least), _pairs_schema()), *leaders])
+    if whole:
+        star = star.union(_beyond(_union(whole), thin, least))
     pairs = stored(star.groupBy("a", "b").agg(F.max("est").alias("est")), "pairs")
     # a family is what sketches connect: all pairs that may be similar lie within one
     family = stored(components(pairs).withColumnRenamed("component", "family"), "families")
@@ -338,11 +402,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     items = full_sets(source, nodes, few, shingle).join(few.select("node", "family"), "node")
     exact = lambda batches: exact_links(batches, percent)
     grouped = lambda df: df.repartition("group").sortWithinPartitions("group").mapInArrow(exact, "a long, b long")
-    links = grouped(items.select(F.col("family").alias("group"), "node", F.lit(0).alias("side"), "items"))
+    links = stored(grouped(items.select(F.col("family").alias("group"), "node", F.lit(0).alias("side"), "items")), "links")
+    # a small family's links are stars around the least node, and its nodes are in no other family
+    found = links.select(F.col("b").alias("node"), F.col("a").alias("component")).union(links.select(F.col("a"), F.col("a")).distinct())
     many = placed.filter(F.col("k") > FAMILY)
     if not many.isEmpty():
-        links = links.union(_large_families(source, nodes, pairs, many, shingle, percent, grouped))
-    found = stored(components(links), "components")
+        found = found.union(components(_large_families(source, nodes, pairs, many, shingle, percent, grouped)))
+    found = stored(found, "components")
     # a component's name is the least key among the documents of its nodes
     placed = nodes.select("node", "rep").join(found, "node")
     names = placed.groupBy("component").agg(F.min("rep").alias("name"))
