@@ -41,18 +41,18 @@ _MOM = ("resid_mom", "resid_mom_short", "resid_mom_long", "resid_mom_mix")
 STRATEGIES = {
     s.name: s
     for s in (
-        Strategy("nasnys_v4", X.V4_24, _rules(20, 0, 0.10, 0.15, 1.5)),
-        Strategy("qs23_hybrid_alpha", _HYBRID, replace(_rules(11, 0, 0.10, 0.25, 1.5), tilt=0.90), decay=0.93, cost_bps=2),
-        Strategy("composer_v1", (*_BASE_1, *_MOM, "srev", "lrev", "rel_sector_mom", "breakout", "prox_52w_high", "slope", "ma_cloud", "vol_breakout", "calm_flow", "vol_surprise", "idio_tail_risk", "idio_jump_freq", "micro_noise", "value_mom", "quality_defensive", "quality_score", "value_score", "cross_momentum", "cross_volatility", "cross_liquidity"), _rules(25, 0, 0.08, 0.18, 1.6), decay=0.94, clip=0.25, cost_bps=5, floor=0.005),
-        Strategy("composer_v2", (*_BASE_1, "idio_tail_risk", *_MOM, "srev", "lrev", "rel_sector_mom", "cross_momentum", "mtf_ic_momentum", "breakout", "prox_52w_high", "slope", "ma_cloud", "vol_breakout", "calm_flow", "hloc_close_position", "vol_surprise", "idio_jump_freq", "micro_noise", "vol_of_vol", "value_mom", "quality_defensive", "quality_score", "value_score", "efficiency_ratio", "attention_momentum", "momentum_quality_ratio"), _rules(18, 6, 0.10, 0.20, 1.7), decay=0.96, cost_bps=8, floor=0.005),
-        Strategy("neural_alpha", (*X.NEURAL, "inv_vol", "inv_idio", "low_beta", "resid_mom", "resid_mom_mix", "mtf_ic_momentum", "srev", "lrev", "breakout", "slope", "ma_cloud", "liquidity", "amihud_inv", "idio_tail_risk", "beta_stability", "mtf_alignment", "hloc_close_position"), _rules(12, 8, 0.12, 0.18, 1.8), decay=0.94),
-        Strategy("neural_alpha_v2", (*X.NEURAL, *_BASE_1, *_MOM, "srev", "lrev", "mtf_ic_momentum", "trend_consistency", "breakout", "slope", "ma_cloud", "prox_52w_high", "hloc_close_position", "calm_flow", "value_mom", "quality_defensive", "quality_score"), _rules(14, 6, 0.09, 0.16, 1.65), cost_bps=8),
-        Strategy("gtp51max", (*_BASE_1, "micro_noise", "idio_tail_risk", *_MOM, "mtf_alignment", "mtf_alignment_strength", "trend_consistency", "momentum_acceleration", "mtf_ic_momentum", "ret_1m", "ret_1q", "ret_2_12m", "srev", "breakout", "slope", "ma_cloud", "vol_breakout", "calm_flow", "prox_52w_high", "hloc_range_expansion", "hloc_close_position", "value_mom", "quality_defensive", "quality_score", "value_score", "rel_sector_mom", "cross_liquidity", "cross_volatility"), _rules(28, 0, 0.07, 0.16, 1.60), decay=0.94, cost_bps=6, penalty=0.35),
-        Strategy("gpt52v4", tuple(sorted({*X.ALPHA, "resid_mom_short", "resid_mom_long", "lrev", "rel_sector_mom", "cross_momentum", "mtf_ic_momentum", "trend_consistency", "momentum_acceleration", "hloc_close_position", *X.OU, "mean_reversion_speed", "disposition_alpha", *X.GLFT, "information_flow", "efficiency_ratio", "liquidity_momentum", "micro_noise", "amihud_inv", *X.DEFENSIVE, *X.QUALITY, "value_score", "value_mom", "quality_defensive", "vol_of_vol", "skewness_factor", "kurtosis_factor", "regime_momentum", "mtf_alignment"})), _rules(16, 6, 0.08, 0.15, 1.55), cost_bps=8, penalty=0.35),
-        Strategy("ou_v1", (*X.OU, "srev", "lrev", "inv_vol", "inv_idio", "inv_down", "low_beta", "liquidity", "amihud_inv", "resid_mom", "resid_mom_mix", "breakout", "slope", "ma_cloud", "calm_flow", "beta_stability", "quality_defensive"), _rules(15, 10, 0.08, 0.14, 1.5), decay=0.94, cost_bps=8),
-        Strategy("glft_v1", (*X.GLFT, "liquidity", "amihud_inv", "inv_vol", "inv_idio", "inv_down", "low_beta", "resid_mom", "resid_mom_mix", "srev", "breakout", "slope", "calm_flow", "vol_breakout", "beta_stability", "micro_noise"), _rules(16, 8, 0.08, 0.15, 1.55), decay=0.94, cost_bps=6),
-        Strategy("glft_v2", (*X.GLFT, *X.GLFT_2, "liquidity", "amihud_inv", "inv_vol", "inv_idio", "inv_down", "low_beta", "resid_mom", "resid_mom_mix", "srev", "lrev", "breakout", "slope", "calm_flow", "vol_breakout"), _rules(14, 10, 0.085, 0.16, 1.6), cost_bps=5.5),
-        Strategy("glft_v3", (*X.GLFT, *X.GLFT_2, *X.GLFT_3, "liquidity", "amihud_inv", "inv_vol", "inv_idio", "inv_down", "low_beta", "low_corr", "resid_mom", "resid_mom_mix", "srev", "lrev", "breakout", "slope", "calm_flow", "beta_stability", "quality_defensive"), _rules(12, 8, 0.075, 0.13, 1.45), decay=0.96, cost_bps=5),
+        Strategy("exchange_24", X.V4_24, _rules(20, 0, 0.10, 0.15, 1.5)),
+        Strategy("hybrid_11", _HYBRID, replace(_rules(11, 0, 0.10, 0.25, 1.5), tilt=0.90), decay=0.93, cost_bps=2),
+        Strategy("composer_32", (*_BASE_1, *_MOM, "srev", "lrev", "rel_sector_mom", "breakout", "prox_52w_high", "slope", "ma_cloud", "vol_breakout", "calm_flow", "vol_surprise", "idio_tail_risk", "idio_jump_freq", "micro_noise", "value_mom", "quality_defensive", "quality_score", "value_score", "cross_momentum", "cross_volatility", "cross_liquidity"), _rules(25, 0, 0.08, 0.18, 1.6), decay=0.94, clip=0.25, cost_bps=5, floor=0.005),
+        Strategy("composer_36", (*_BASE_1, "idio_tail_risk", *_MOM, "srev", "lrev", "rel_sector_mom", "cross_momentum", "mtf_ic_momentum", "breakout", "prox_52w_high", "slope", "ma_cloud", "vol_breakout", "calm_flow", "hloc_close_position", "vol_surprise", "idio_jump_freq", "micro_noise", "vol_of_vol", "value_mom", "quality_defensive", "quality_score", "value_score", "efficiency_ratio", "attention_momentum", "momentum_quality_ratio"), _rules(18, 6, 0.10, 0.20, 1.7), decay=0.96, cost_bps=8, floor=0.005),
+        Strategy("behaviour_32", (*X.NEURAL, "inv_vol", "inv_idio", "low_beta", "resid_mom", "resid_mom_mix", "mtf_ic_momentum", "srev", "lrev", "breakout", "slope", "ma_cloud", "liquidity", "amihud_inv", "idio_tail_risk", "beta_stability", "mtf_alignment", "hloc_close_position"), _rules(12, 8, 0.12, 0.18, 1.8), decay=0.94),
+        Strategy("behaviour_40", (*X.NEURAL, *_BASE_1, *_MOM, "srev", "lrev", "mtf_ic_momentum", "trend_consistency", "breakout", "slope", "ma_cloud", "prox_52w_high", "hloc_close_position", "calm_flow", "value_mom", "quality_defensive", "quality_score"), _rules(14, 6, 0.09, 0.16, 1.65), cost_bps=8),
+        Strategy("defensive_38", (*_BASE_1, "micro_noise", "idio_tail_risk", *_MOM, "mtf_alignment", "mtf_alignment_strength", "trend_consistency", "momentum_acceleration", "mtf_ic_momentum", "ret_1m", "ret_1q", "ret_2_12m", "srev", "breakout", "slope", "ma_cloud", "vol_breakout", "calm_flow", "prox_52w_high", "hloc_range_expansion", "hloc_close_position", "value_mom", "quality_defensive", "quality_score", "value_score", "rel_sector_mom", "cross_liquidity", "cross_volatility"), _rules(28, 0, 0.07, 0.16, 1.60), decay=0.94, cost_bps=6, penalty=0.35),
+        Strategy("sleeves", tuple(sorted({*X.ALPHA, "resid_mom_short", "resid_mom_long", "lrev", "rel_sector_mom", "cross_momentum", "mtf_ic_momentum", "trend_consistency", "momentum_acceleration", "hloc_close_position", *X.OU, "mean_reversion_speed", "disposition_alpha", *X.GLFT, "information_flow", "efficiency_ratio", "liquidity_momentum", "micro_noise", "amihud_inv", *X.DEFENSIVE, *X.QUALITY, "value_score", "value_mom", "quality_defensive", "vol_of_vol", "skewness_factor", "kurtosis_factor", "regime_momentum", "mtf_alignment"})), _rules(16, 6, 0.08, 0.15, 1.55), cost_bps=8, penalty=0.35),
+        Strategy("reversion_24", (*X.OU, "srev", "lrev", "inv_vol", "inv_idio", "inv_down", "low_beta", "liquidity", "amihud_inv", "resid_mom", "resid_mom_mix", "breakout", "slope", "ma_cloud", "calm_flow", "beta_stability", "quality_defensive"), _rules(15, 10, 0.08, 0.14, 1.5), decay=0.94, cost_bps=8),
+        Strategy("flow_25", (*X.GLFT, "liquidity", "amihud_inv", "inv_vol", "inv_idio", "inv_down", "low_beta", "resid_mom", "resid_mom_mix", "srev", "breakout", "slope", "calm_flow", "vol_breakout", "beta_stability", "micro_noise"), _rules(16, 8, 0.08, 0.15, 1.55), decay=0.94, cost_bps=6),
+        Strategy("flow_30", (*X.GLFT, *X.GLFT_2, "liquidity", "amihud_inv", "inv_vol", "inv_idio", "inv_down", "low_beta", "resid_mom", "resid_mom_mix", "srev", "lrev", "breakout", "slope", "calm_flow", "vol_breakout"), _rules(14, 10, 0.085, 0.16, 1.6), cost_bps=5.5),
+        Strategy("flow_40", (*X.GLFT, *X.GLFT_2, *X.GLFT_3, "liquidity", "amihud_inv", "inv_vol", "inv_idio", "inv_down", "low_beta", "low_corr", "resid_mom", "resid_mom_mix", "srev", "lrev", "breakout", "slope", "calm_flow", "beta_stability", "quality_defensive"), _rules(12, 8, 0.075, 0.13, 1.45), decay=0.96, cost_bps=5),
     )
 }
 

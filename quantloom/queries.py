@@ -99,7 +99,7 @@ def strategy_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strategy_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = strategies.run(spark, sf_dir, ("nasnys_v4", "glft_v1"))
+    w = strategies.run(spark, sf_dir, ("exchange_24", "flow_25"))
     ret = dsl.compute(panel.panel(spark, sf_dir), {"ret": X.Base().ret})
     return strategies.diagnostics(w, ret)
 

@@ -50,11 +50,11 @@ def test_strategies_use_known_factors():
     assert len(S.STRATEGIES) == 12
     for s in S.STRATEGIES.values():
         assert set(s.factors) <= known and len(set(s.factors)) == len(s.factors), s.name
-    assert [len(S.STRATEGIES[n].factors) for n in ("nasnys_v4", "composer_v1", "composer_v2", "neural_alpha", "neural_alpha_v2", "gtp51max", "ou_v1", "glft_v1", "glft_v2", "glft_v3")] == [24, 32, 36, 32, 40, 38, 24, 25, 30, 40]
+    assert [len(S.STRATEGIES[n].factors) for n in ("exchange_24", "composer_32", "composer_36", "behaviour_32", "behaviour_40", "defensive_38", "reversion_24", "flow_25", "flow_30", "flow_40")] == [24, 32, 36, 32, 40, 38, 24, 25, 30, 40]
 
 
 def test_strategy_runs(spark):
-    w = S.run(spark, "/root/testdata/sf0.001", ("qs23_hybrid_alpha",)).toPandas()
+    w = S.run(spark, "/root/testdata/sf0.001", ("hybrid_11",)).toPandas()
     assert len(w) and (w.w >= -1e-12).all() and w.groupby("time").w.sum().max() <= 1.5 + 1e-9
 
 
