@@ -133,8 +133,9 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int
     Returns query_id, rank, vec_id, score (inner product in double precision,
     summed in order of the components). Ties go to the smaller key; a row is no
     candidate of its own query. Vectors that are null, empty, zero or not finite
-    take no part, nor do rows of a null key or of another length than the query;
-    rows that repeat a key are candidates each. An empty table gives no rows.
+    take no part, nor do rows of a null key or of another length than the query; rows
+    that repeat a key are candidates each, and the least of their vectors asks. An
+    empty table gives no rows.
 
     Vectors are hashed to shards of about SHARD_ROWS rows, packed to one row
     each; queries are packed to blocks of QUERY_BLOCK. A task searches one shard
@@ -163,9 +164,10 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int
         keyed = rows.select(F.pmod(F.xxhash64("id", F.lit(parts)), F.lit(parts)).cast("int").alias("k"), "id", "v", "size")
         return keyed.groupBy("k").applyInArrow(_gathered(pack), "k int, ids binary, flat binary, sizes binary")
 
-    shard = packed(vectors, shards).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "ids", "flat", "sizes")
-    asked = packed(vectors.filter(F.col("id") % every == 0), blocks).select(F.col("k").alias("block"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.col("sizes").alias("q_sizes"))
-    pairs = shard.repartition(shards * blocks, "block", F.xxhash64("ids")).join(asked.hint("shuffle_hash"), "block") if blocks > 1 else shard.join(asked, "block")
+    # a row for each (shard, block): both sides are dealt by that pair
+    shard = packed(vectors, shards).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = packed(vectors.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")).withColumn("size", F.size("v")), blocks).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("k"), F.col("k").alias("block"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.col("sizes").alias("q_sizes"))
+    pairs = shard.join(asked, ["k", "block"])
 
     def find(batches):
         for b in batches:
