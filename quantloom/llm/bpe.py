@@ -22,6 +22,7 @@ from .common import chunks, utf8
 from .pretokens import PATTERN, PretokenEncoder
 
 MAX_WORDS = 700_000  # pre-tokens kept per worker; beyond it the table starts anew
+CHUNK = 1 << 20  # text bytes of one pass
 LONG_WORD = 200  # longer pre-tokens are not kept
 
 
@@ -214,7 +215,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, w
     for batch in batches:
         column = batch.column(batch.schema.get_field_index("text"))
         _, off = utf8(column)
-        for i, j in chunks(off):
+        for i, j in chunks(off, CHUNK):
             ids, counts = encoder([x or "" for x in column.slice(i, j - i).to_pylist()])
             yield work(batch.slice(i, j - i), ids, counts)
 
@@ -231,7 +232,7 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str, text: str = "text", ke
         codec = piece_codec(path, pattern)
         for batch in batches:
             _, off = utf8(batch.column(1))
-            for i, j in chunks(off):
+            for i, j in chunks(off, CHUNK):
                 ids, counts = codec.encode([x or "" for x in batch.column(1).slice(i, j - i).to_pylist()])
                 shown = [hashlib.sha256(x).hexdigest() for x in codec.decimals(ids, counts)]
                 back = [hashlib.sha256(x).hexdigest() for x in codec.decode(ids, counts)]

@@ -22,12 +22,13 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_chunk
+from .common import by_chunk, chunks, utf8
 from .words import Words
 
 HIDDEN, PIECE, STEPS, BATCH = 16, 48, 400, 384
 SAMPLE_DOCS, SAMPLE_WORDS = 300, 3000
-KEPT_WORDS = 1_000_000  # distinct words whose sums a worker keeps
+CHUNK = 2 << 20  # text bytes of one pass
+KEPT_WORDS = 400_000  # distinct words whose sums a worker keeps
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -234,7 +235,7 @@ def _predictions(net: Network | None, key: str):
             held = [k is not None and fold(k) == 2 for k in keys.to_pylist()]
             return pa.RecordBatch.from_arrays([keys, pa.array(held), pa.array(names), pa.array(score)], names=[key, "held_out", "lang_pred", "score"])
 
-        yield from by_chunk(batches, "text", work)
+        yield from by_chunk(batches, "text", work, CHUNK)
 
     return run
 
@@ -244,12 +245,15 @@ def keep_recognised(docs: DataFrame, net: Network | None, least: float, key: str
 
     def run(batches):
         predict = _predictions(net, key)
-        for b in batches:
-            view = pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in (key, text)], names=[key, "text"])
-            parts = list(predict([view]))
-            names = [x for p in parts for x in p.column(2).to_pylist()]
-            score = np.concatenate([p.column(3).to_numpy() for p in parts] or [np.zeros(0)])
-            yield b.filter(pa.array(np.array([x != "und" for x in names], bool) & (score >= least), pa.bool_()))
+        for whole in batches:
+            _, off = utf8(whole.column(whole.schema.get_field_index(text)))
+            for i, j in chunks(off, CHUNK):  # what is held at a time is a piece, not the batch
+                b = whole.slice(i, j - i)
+                view = pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in (key, text)], names=[key, "text"])
+                parts = list(predict([view]))
+                names = [x for p in parts for x in p.column(2).to_pylist()]
+                score = np.concatenate([p.column(3).to_numpy() for p in parts] or [np.zeros(0)])
+                yield b.filter(pa.array(np.array([x != "und" for x in names], bool) & (score >= least), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

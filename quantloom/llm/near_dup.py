@@ -31,9 +31,9 @@ from .common import binary_array, by_chunk, mix64, stored, utf8
 from .components import components
 from .words import Words
 
-COORDS, TREES, SMALL, DEPTH = 128, 16, 128, 6
+COORDS, TREES, SMALL, DEPTH = 128, 16, 128, 3
 LEADERS = 4  # of a large branch
-FAMILY = 512  # nodes that are compared all with all in one task
+FAMILY = 2048  # nodes that are compared all with all in one task
 MARGIN = 0.17  # a sketch may fall short of the threshold by this (4.8 standard deviations of 128 coordinates)
 BITS = 1 << 26  # of the filter of the documents whose sets are needed: 8 MB at any size
 

@@ -74,17 +74,17 @@ def boundaries(cp: np.ndarray, starts: np.ndarray) -> np.ndarray:
 class PretokenEncoder:
     """Encode whole texts; each distinct pre-token is encoded once and its ids kept, up to MAX pre-tokens."""
 
-    MAX, LONG = 1_500_000, 200
+    MAX, LONG = 900_000, 200
 
     def __init__(self, encode_words: Callable[[list[str]], list[list[int]]]):
         self.encode_words = encode_words
         self.clear()
 
     def clear(self) -> None:
-        size = 1 << 22
+        size = 1 << 21
         self.mask = np.int64(size - 1)
         self.keys, self.slot_of = np.zeros(size, np.uint64), np.zeros(size, np.int32)
-        self.flat, self.used, self.n = np.zeros(1 << 20, np.int32), 0, 0
+        self.flat, self.used, self.n = np.zeros(1 << 19, np.int32), 0, 0
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
 
     _power = np.ones(1, np.uint64)
@@ -94,7 +94,7 @@ class PretokenEncoder:
     def _powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls._power) < n:
             base = 0xD1342543DE82EF95
-            size = max(n, 1 << 22)
+            size = max(n, 1 << 20)
             cls._power, cls._inverse = (np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(size, np.uint64(x)))]) for x in (base, pow(base, -1, 1 << 64)))
         return cls._power, cls._inverse
 

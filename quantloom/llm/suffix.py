@@ -510,11 +510,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
         return pa.RecordBatch.from_arrays([keys, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string()), other], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "other"])
 
     def plain(batches):
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            raw = [t.encode() for t in texts]
-            zero = [0] * len(raw)
-            yield result(b, [b.column(0), b.column(2), [len(r) for r in raw], zero, zero, [hashlib.sha256(r).hexdigest() for r in raw], texts if keep_text else [None] * len(raw)])
+        for whole in batches:
+            _, off = utf8(whole.column(1))
+            for i, j in chunks(off, 2 * CHUNK_BYTES):
+                b = whole.slice(i, j - i)
+                texts = b.column(1).to_pylist()
+                raw = [t.encode() for t in texts]
+                zero = [0] * len(raw)
+                yield result(b, [b.column(0), b.column(2), [len(r) for r in raw], zero, zero, [hashlib.sha256(r).hexdigest() for r in raw], texts if keep_text else [None] * len(raw)])
 
     def cut(_, left: pa.Table, right: pa.Table) -> pa.Table:
         names, places, marks = _unpack(right, PLACE) if right.num_rows else [np.zeros(0, k) for k in PLACE]
