@@ -33,6 +33,7 @@ from .words import Words
 
 COORDS, TREES, SMALL, DEPTH = 128, 16, 128, 3
 LEADERS = 4  # of a large branch
+CHUNK = 1 << 20  # text bytes of one pass
 FAMILY = 2048  # nodes that are compared all with all in one task
 MARGIN = 0.17  # a sketch may fall short of the threshold by this (4.8 standard deviations of 128 coordinates)
 BITS = 1 << 26  # of the filter of the documents whose sets are needed: 8 MB at any size
@@ -80,7 +81,7 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
             keep = pa.array(~none)
             return pa.RecordBatch.from_arrays([rows.column(0), pa.array(n.astype(np.int64)), node, pc.if_else(keep, wide, empty), pc.if_else(keep, thin, empty)], names=["doc_id", "n", "node", "sig", "sketch"])
 
-        yield from by_chunk(batches, "text", work)
+        yield from by_chunk(batches, "text", work, CHUNK)
 
     return docs.mapInArrow(run, "doc_id long, n long, node long, sig binary, sketch binary")
 
@@ -318,7 +319,7 @@ def _shared(items: np.ndarray, row: np.ndarray, head: np.ndarray, rows: int) ->
     starts = np.ones(len(token), bool)
     starts[1:] = token[1:] != token[:-1]
     token = np.cumsum(starts) - 1
-    wide = max(64, (4 << 20) // rows)
+    wide = max(64, (1 << 20) // rows)
     for lo in range(0, int(token[-1]) + 1, wide):
         a, b = np.searchsorted(token, [lo, lo + wide])
         m = np.zeros((rows, wide), np.float32)
@@ -348,7 +349,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int
         for b in batches:
             bits = b.column(2).to_numpy()
             kept = b.filter(pa.array((filled[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)))
-            yield from by_chunk([kept.select([0, 1])], "text", work)
+            yield from by_chunk([kept.select([0, 1])], "text", work, CHUNK)
 
     keyed = docs.withColumn("bit", F.expr(f"bitmap_bit_position(pmod(xxhash64(doc_id), {BITS}l) + 1) + (bitmap_bucket_number(pmod(xxhash64(doc_id), {BITS}l) + 1) - 1) * 32768"))
     return keyed.mapInArrow(sets, "rep long, node long, items binary").join(wanted, ["rep", "node"], "left_semi").groupBy("node").agg(F.first("items").alias("items"))
