@@ -250,16 +250,17 @@ def first_places(text: np.ndarray, length: np.ndarray, windows: np.ndarray, orde
 # --- the distributed steps ---------------------------------------------------
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """Pieces of a batch (key, text): (rows, place of each piece in its text, data, offsets); a very long text comes in pieces that overlap by WINDOW - 1."""
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of a batch (key, text): (rows, marks of their whole texts, place of each piece in its text, data, offsets); a very long text comes in pieces that overlap by WINDOW - 1."""
     data, off = utf8(batch.column(1))
     for i, j in chunks(off, CHUNK_BYTES):
+        marks = _marks(data, off[i : j + 1])
         if off[j] - off[i] <= 2 * CHUNK_BYTES:
-            yield batch.slice(i, j - i), np.zeros(j - i, np.int64), data[off[i] : off[j]], off[i : j + 1] - off[i]
+            yield batch.slice(i, j - i), marks, np.zeros(j - i, np.int64), data[off[i] : off[j]], off[i : j + 1] - off[i]
             continue
         for a in range(int(off[i]), int(off[j]), CHUNK_BYTES):
             b = min(a + CHUNK_BYTES + WINDOW - 1, int(off[j]))
-            yield batch.slice(i, 1), np.array([a - off[i]]), data[a:b], np.array([0, b - a])
+            yield batch.slice(i, 1), marks, np.array([a - off[i]]), data[a:b], np.array([0, b - a])
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -312,15 +313,16 @@ def repeats(docs: DataFrame, total: int) -> tuple[DataFrame, int]:
 
     def find(batches):
         for batch in batches:
-            for rows, place, data, off in _rows(batch):
+            for rows, marks, place, data, off in _rows(batch):
                 row, lo, count, anchor = runs(data, off)
                 if not len(row):
                     continue
-                keys, marks = _ids(rows.column(0)), _marks(data, off)
+                keys = _ids(rows.column(0))
                 print_of = Fingerprints(data).of(lo, lo + count + WINDOW - 1)
                 key, at = keys[row], (lo - off[row] + place[row]).astype(np.int32)
                 x = marks[row] << np.uint32(7) | (count - 1).astype(np.uint32)
-                # equal runs of this piece: the first goes to its anchor, the others are repeats already
+                # equal runs of this piece: the first by (key, mark, place) goes to its anchor, the others are repeats already;
+                # equal prints are of one length, so x orders them by mark alone
                 by = np.lexsort((at, x, key, print_of, anchor))
                 new = _firsts(anchor[by], print_of[by])
                 one, more = by[new], by[~new]

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -117,6 +118,24 @@ def test_suffix_removal_of_a_text_in_pieces(spark, monkeypatch):
     assert [tuple(r)[1:4] for r in suffix.digests(docs).orderBy("doc_id").collect()] == [r[1:4] for r in removed(rows)]
 
 
+def test_suffix_removal_of_a_text_over_two_chunks(spark):
+    """Larger than the workers' own CHUNK_BYTES: the text repeats itself across pieces, others before and after it repeat parts of it."""
+    body = passage(11, (2 << 20) + 5000)
+    whole = body[:1_000_000] + passage(12, 300) + body[1_000_000:] + body[700_000:700_900] + "x" + body[2_000_000:2_000_500] + body[:150]
+    rows = [(1, passage(13, 120) + body[1_500_000:1_500_400]), (2, whole), (3, passage(14, 90) + body[50:450] + "y" + passage(12, 300)), (4, body[2_090_000:2_090_700])]
+    want = removed(rows)
+    assert [r[2] > 0 for r in want] == [False, True, True, True]
+    assert [tuple(r) for r in suffix.digests(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()] == want
+
+
+def test_pieces_carry_the_mark_of_their_text():
+    text = passage(15, 3 * suffix.CHUNK_BYTES)
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([text])], names=["key", "text"])
+    data = np.frombuffer(text.encode(), np.uint8)
+    mark = suffix._marks(data, np.array([0, len(data)])).tolist()
+    assert [m.tolist() for _, m, *_ in suffix._rows(batch)] == [mark] * 3
+
+
 def jaccard_components(rows, n, percent):
     sets = []
     for _, t in rows:
