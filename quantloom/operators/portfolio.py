@@ -89,8 +89,8 @@ def weight_floor(d):
 
 
 def kendall_ic(d):
-    """Kendall's tau-b of score and forward return, by month's last date (pairs of a date)."""
-    s = f"(select time, asset, score, round(fwd, 9) fwd from {signals(d)} s where t % 26 = 0)"
+    """Kendall's tau-b of score and forward return, by date (over all pairs of the date)."""
+    s = f"(select time, asset, score, round(fwd, 9) fwd from {signals(d)} s)"
     sg = "sign(a.score - b.score) * sign(a.fwd - b.fwd)"
     return f"select a.time, round(sum({sg}) / nullif(sqrt(cast(sum(abs(sign(a.score - b.score))) as double)) * sqrt(cast(sum(abs(sign(a.fwd - b.fwd))) as double)), 0), 6) + 0.0 tau, count(*) pairs from {s} a join {s} b on a.time = b.time and a.asset < b.asset group by a.time"
 

@@ -77,3 +77,22 @@ def test_registry_is_complete():
         assert set(group) <= set(known)
     assert X.Windows().scaled(0.1).week == 2 and X.Windows().scaled(2).mom == 168
     assert "reversal" in X.categories() and X.names("reversal") == ["srev", "lrev"]
+
+
+def test_kendall_of_every_date(spark):
+    """Against all pairs of each date in numpy: both engines share one text, so their agreement says nothing of dates left out."""
+    from quantloom.operators.book import signals
+
+    rows = spark.sql(f"select time, asset, score, round(fwd, 9) fwd from {signals(dsl.Dialect('spark', FOLDER))} s").toPandas()
+    want = {}
+    for time, day in rows.groupby("time"):
+        i, j = np.triu_indices(len(day), 1)
+        if not len(i):
+            continue
+        a, b = (np.sign(v[i] - v[j]) for v in (day.score.to_numpy(), day.fwd.to_numpy()))
+        under = np.sqrt(np.abs(a).sum()) * np.sqrt(np.abs(b).sum())
+        want[time] = ((a * b).sum() / under if under else None, len(i))
+    got = {r.time: (r.tau, r.pairs) for r in Q.queries()["kendall_ic"](spark, FOLDER).collect()}
+    assert sorted(got) == sorted(want) and len(got) > 300
+    for time, (tau, pairs) in want.items():
+        assert got[time] == (tau if tau is None else pytest.approx(tau, abs=1e-6), pairs)
