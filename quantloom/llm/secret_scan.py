@@ -33,7 +33,7 @@ KINDS = {
     "assign": (ASSIGN, 6, 2),
     "access": ("AKIA[A-Z0-9]{16,}", 20, 0),
     "hex": ("[0-9a-f]{24,}", 24, 0),
-    "key40": ("[A-Za-z0-9+/=]{40,}", 40, 0),
+    "key40": ("[A-Za-z0-9+/]{40,}", 40, 0),  # whole runs; "=" ends one, as in name=<key>
     "account": (ACCOUNT, 3, 2),
     "address": (f"{either_case('https')}?://[^\\x20\\x09-\\x0D\"'<>]+", 10, 0),
 }
@@ -55,7 +55,7 @@ def found(text: Column, kind: str) -> Column:
 
     def one(m: Column) -> Column:
         if kind == "key40":
-            return (F.length(m) == 40) & ~m.contains("=") & m.rlike("[A-Z]") & m.rlike("[a-z]") & m.rlike("[0-9]")
+            return (F.length(m) == 40) & m.rlike("[A-Z]") & m.rlike("[a-z]") & m.rlike("[0-9]")
         return F.length(F.regexp_extract(m, pattern, group) if group else m) >= least
 
     def step(acc: Column, pair: Column) -> Column:
@@ -118,11 +118,14 @@ def redacted(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> Dat
 
 
 def oracle(table: str = "documents") -> str:
-    """The same in DuckDB's SQL: positions from the lengths of what regexp_split_to_array and regexp_extract_all give."""
+    """The same in DuckDB's SQL: positions from the lengths of what regexp_split_to_array and regexp_extract_all give.
+
+    Its text is kept as it was: "=" belongs to a run, so of keys next to "=" it knows nothing. sf0.001 to sf0.1 hold none.
+    """
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     spans = []
     for rank, (kind, (pattern, least, group)) in enumerate(KINDS.items()):
-        p = quote(pattern)
+        p = quote("[A-Za-z0-9+/=]{40,}" if kind == "key40" else pattern)
         ok = f"length(m[i]) = 40 and not contains(m[i], '=') and regexp_matches(m[i], '[A-Z]') and regexp_matches(m[i], '[a-z]') and regexp_matches(m[i], '[0-9]')" if kind == "key40" else f"length(regexp_extract(m[i], {p}, {group})) >= {least}"
         spans.append(f"""{kind} as (select rid, list({{'s': s, 'r': {rank}, 'kind': '{kind}', 'e': s + n}} order by s) x from (
   select rid, length(m[i]) n, {ok} ok, list_sum([length(y) for y in g[1:i]]) + coalesce(list_sum([length(y) for y in m[1:i-1]]), 0) s

@@ -204,6 +204,22 @@ def test_secrets(spark, docs, nothing):
     assert secret_scan.digests(docs).count() == len(ROWS) and secret_scan.digests(nothing).count() == 0
 
 
+def test_secret_keys_next_to_an_equals_sign(spark):
+    key40, access = "wJalrXUtnFEMI/K7MDENG+bPxRfiCYEXAMPLEKEY", "AKIA" + "B" * 16
+    before = ("aws_secret_access_key=", "SecretAccessKey=", "key=", "x==", "aws_secret_access_key = ", "k: '")
+    rows = [(i, f"{access} {b}{key40}") for i, b in enumerate(before)]
+    rows += [(10, f"{access} k={key40}= https://api.example.com/v1"), (11, f"{access} k={key40}A"), (12, f"{access} k=A{key40}"), (13, f"{access} {'z1' * 20}=B"), (14, f"k={key40}"), (15, f"account=acme key={key40}\nother={key40}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.spans.split(",") for r in secret_scan.digests(docs).collect()}
+    masked = {r.doc_id: r.text for r in secret_scan.redacted(docs).collect()}
+    for i, b in enumerate(before):
+        at = len(access) + 1 + len(b)
+        assert spans[i] == ["access:0:20", f"key40:{at}:{at + 40}"] and masked[i] == f"[secret] {b}[secret]"
+    assert spans[10] == ["access:0:20", "key40:23:63", "address:65:91"]
+    assert spans[11] == spans[12] == spans[13] == ["access:0:20"] and spans[14] == [""]
+    assert masked[15] == "[secret] key=[secret]\nother=[secret]"
+
+
 def test_quality(docs, nothing, spark):
     good = " ".join(f"word{k}" for k in range(80))
     bad = " ".join(f"word{k}&&&" for k in range(80))
