@@ -9,7 +9,8 @@ triangle inequality's bound exceeds the distance of its k-th best so far. With
 
 Queries walk a tree together: first each goes down to its own leaf, which gives a
 first k-th distance, then one pass visits every node with the queries that still
-need it.
+need it. Distances from matrix products differ in their last bits, so another pass
+takes all points as near as the k-th up to rounding; exact scores and ids decide.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SHARD_ROWS, LEAF, QUERY_BLOCK = 8192, 256, 2048
+QUERY_PART = 256  # queries whose candidates are held at once
 
 
 class Tree:
@@ -106,6 +108,33 @@ class Tree:
         rows[np.isinf(best)] = -1
         return rows, best
 
+    def within(self, queries: np.ndarray, limit: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, row) of all rows whose squared distance is at most the query's ``limit``, up to rounding."""
+        q = np.concatenate([queries, np.zeros((len(queries), 1))], 1)
+        q2 = (q**2).sum(1)
+        limit = limit + 4 * (q.shape[1] + 8) * np.finfo(float).eps * (q2 + self.top)  # more than products of any order can differ by
+        reach = np.sqrt(limit) * (1 + 1e-9) + 1e-7
+        pairs = [(np.zeros(0, np.int64),) * 2]
+
+        def visit(n: int, who: np.ndarray) -> None:
+            node = self.nodes[n]
+            if node["kids"] is None:
+                for lo in range(node["lo"], node["hi"], 4096):
+                    hi = min(lo + 4096, node["hi"])
+                    d = q2[who, None] + self.top - 2 * (q[who] @ self.sorted[lo:hi].T)
+                    at, col = np.nonzero(d <= limit[who, None])
+                    pairs.append((who[at], self.order[lo:hi][col]))
+                return
+            d = np.sqrt(((q[who] - node["point"]) ** 2).sum(1))
+            for side in (0, 1):
+                lo, hi = node["ranges"][side]
+                part = who[factor * np.maximum(np.maximum(d - hi, lo - d), 0) <= reach[who]]
+                if len(part):
+                    visit(node["kids"][side], part)
+
+        visit(0, np.arange(len(q)))
+        return tuple(np.concatenate(x) for x in zip(*pairs, strict=True))
+
 
 def _least(d: np.ndarray, r: np.ndarray, k: int) -> np.ndarray:
     """Places of the k least by (d, r): a partition, then all that tie with its border."""
@@ -206,19 +235,36 @@ def _search_packed(rows: dict, queries: dict, k: int, factor: float):
         if size not in rows:
             continue
         ids, x = rows[size]
-        own = np.searchsorted(ids, q_ids)
-        own = np.where((own < len(ids)) & (ids[np.minimum(own, len(ids) - 1)] == q_ids), own, -1)
-        scale = float(np.abs(x).max())  # keeps squares finite
-        found, _ = Tree(x / scale).search(q / float(np.abs(q).max()), k + 4, factor, own)
-        at, col = np.nonzero(found >= 0)
-        row = found[at, col]
-        keep = ids[row] != q_ids[at]
-        at, row = at[keep], row[keep]
-        score = np.zeros(len(at))
-        for c in range(size):  # in order of the components, for any batch alike
-            score += q[at, c] * x[row, c]
-        by = np.lexsort((ids[row], -score, at))
-        at, row, score = at[by], row[by], score[by]
-        first = np.searchsorted(at, np.arange(len(q_ids)))
-        top = np.arange(len(at)) - first[at] < k
-        yield pa.RecordBatch.from_arrays([pa.array(q_ids[at[top]]), pa.array(ids[row[top]]), pa.array(score[top])], names=["query_id", "vec_id", "score"])
+        # equal vectors are one point, whose rows stand in id order from first[point] on
+        seen: dict[bytes, int] = {}
+        point = np.array([seen.setdefault(v.tobytes(), len(seen)) for v in x])
+        members = np.argsort(point, kind="stable")
+        count = np.bincount(point)
+        first = np.cumsum(count) - count
+        x = x[members[first]]
+        tree, scale = Tree(x / float(np.abs(x).max())), float(np.abs(q).max())  # keeps squares finite
+        # rows of the query's own id are no candidates: so many places more are looked at
+        own = np.searchsorted(ids, q_ids, "right") - np.searchsorted(ids, q_ids, "left")
+        for extra in np.unique(own):
+            some = np.flatnonzero(own == extra)
+            for who in np.split(some, range(QUERY_PART, len(some), QUERY_PART)):
+                yield _best(tree, q[who] / scale, q[who], q_ids[who], x, ids, members, first, count, k, k + int(extra), factor)
+
+
+def _best(tree: Tree, scaled, q, q_ids, x, ids, members, first, count, k: int, wide: int, factor: float) -> pa.RecordBatch:
+    """The ``k`` best rows of every query by exact score and id, from all points as near as the ``wide``-th, ties and rounding included."""
+    _, best = tree.search(scaled, wide, factor, np.full(len(q), -1))
+    at, of = tree.within(scaled, best[:, -1], factor)
+    score = np.zeros(len(at))
+    for c in range(q.shape[1]):  # in order of the components, for any batch alike
+        score += q[at, c] * x[of, c]
+    # rows of one point tie, so its first ``wide`` ids are enough
+    n = np.minimum(count[of], wide)
+    row = members[np.repeat(first[of] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    at, score = np.repeat(at, n), np.repeat(score, n)
+    keep = ids[row] != q_ids[at]
+    at, row, score = at[keep], row[keep], score[keep]
+    by = np.lexsort((ids[row], -score, at))
+    at, row, score = at[by], row[by], score[by]
+    top = np.arange(len(at)) - np.searchsorted(at, np.arange(len(q_ids)))[at] < k
+    return pa.RecordBatch.from_arrays([pa.array(q_ids[at[top]]), pa.array(ids[row[top]]), pa.array(score[top])], names=["query_id", "vec_id", "score"])

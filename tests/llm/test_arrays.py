@@ -79,6 +79,47 @@ def test_tree_of_equal_points():
     assert found.tolist() == [[1, 2, 3, 4, 5], [0, 1, 2, 3, 4]]
 
 
+def exact_best(x, q, q_ids, k):
+    score = np.zeros((len(q), len(x)))
+    for c in range(x.shape[1]):
+        score += q[:, c, None] * x[:, c]
+    ids = np.arange(len(x))
+    return {int(i): [int(r) for r in np.lexsort((ids, -s)) if r != i][:k] for i, s in zip(q_ids, score, strict=True)}
+
+
+@pytest.mark.parametrize("kind", ["copies", "permutations"])
+def test_ties_beyond_the_last_place(kind):
+    """Copies tie exactly, permutations against equal components up to rounding: exact score, then id, decide."""
+    rng = np.random.default_rng(17)
+    x = rng.standard_normal((3000, 64))
+    if kind == "copies":
+        x[rng.permutation(3000)[:1000]] = x[7]
+        q_ids = np.arange(0, 3000, 20)
+        q = x[q_ids] + 2 * x[7]
+    else:
+        x[:1000] = np.array([rng.permutation(x[0]) for _ in range(1000)])
+        x[:1000] *= np.sign(x[0].sum())
+        x[1000:] -= 1
+        q_ids, q = np.arange(40), np.tile(np.linspace(0.5, 2, 40)[:, None], 64)
+    got = {}
+    for b in vptree._search_packed({64: (np.arange(3000), x)}, {64: (q_ids, q)}, 20, 1.0):
+        for i, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            got.setdefault(i, []).append(r)
+    assert got == exact_best(x, q, q_ids, 20)
+
+
+def test_rows_of_the_query_key_take_no_place():
+    rng = np.random.default_rng(18)
+    ids = np.sort(np.concatenate([np.arange(60), np.full(30, 20)]))
+    x = rng.standard_normal((90, 4))
+    q = x[ids == 20][:1] * 3
+    x[ids == 20] *= 5
+    (b,) = vptree._search_packed({4: (ids, x)}, {4: (np.array([20]), q)}, 20, 1.0)
+    others = np.flatnonzero(ids != 20)
+    want = ids[others[np.lexsort((ids[others], -(x[others] @ q[0])))]][:20]
+    assert b.column(1).to_pylist() == want.tolist()
+
+
 def test_huffman_code():
     rng = np.random.default_rng(7)
     counts = np.zeros(5000, np.int64)
