@@ -8,10 +8,12 @@ similar pair is expected to stay together once a level), chosen by the branch's
 path, the same for all its nodes. Trees are independent; TREES of them bring the
 chance to miss a pair at the threshold below 1e-5. Small branches are compared
 exhaustively on sketches, and what may be similar is confirmed on the full sets.
+A branch of up to BRANCH nodes is one row group of a task, which goes on with its
+tree in memory; larger ones branch on as tables, level by level.
 What sketches connect is a family; full sets are gathered once per family, not per
 pair, and compared all with all by a product of 0/1 matrices. Only connectivity
 is asked for, so a family gives at most a link per node. A large branch of mostly
-near copies, which no level would split, is connected through its leader. In a
+near copies, which no level would split, is connected through its leaders. In a
 family of over FAMILY nodes each node is confirmed with its most similar leader
 first, and then only nodes outside the largest component are compared with the
 whole family, block by block.
@@ -27,11 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_array, by_chunk, mix64, stored, utf8
+from .common import binary_array, by_chunk, drop_stored, mix64, stored, utf8
 from .components import components
 from .words import Words
 
 COORDS, TREES, SMALL, DEPTH = 128, 16, 128, 3
+BRANCH = 8192  # nodes of a branch that one task follows further
 LEADERS = 4  # of a large branch
 CHUNK = 1 << 20  # text bytes of one pass
 FAMILY = 2048  # nodes that are compared all with all in one task
@@ -64,7 +67,7 @@ def node_ids(row: np.ndarray, h: np.ndarray, docs: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n, node, sig, sketch) of every row; the last three null for empty sets."""
+    """(doc_id, n, node, roots, sketch) of every row; the last three null for empty sets. Roots are 32-bit tokens, one a tree; sketches hold 8 bits of every coordinate."""
 
     def run(batches):
         def work(rows, data, offsets):
@@ -75,27 +78,26 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
             none = n == 0
             short = (sig * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
             node = pa.array(node_ids(row, h, docs), mask=none)
-            wide = binary_array(sig.astype("<u4"), np.full(docs, 4 * COORDS))
+            wide = binary_array(sig[:, :TREES].astype("<u4"), np.full(docs, 4 * TREES))
             thin = binary_array(short, np.full(docs, COORDS))
             empty = pa.nulls(docs, pa.binary())
             keep = pa.array(~none)
-            return pa.RecordBatch.from_arrays([rows.column(0), pa.array(n.astype(np.int64)), node, pc.if_else(keep, wide, empty), pc.if_else(keep, thin, empty)], names=["doc_id", "n", "node", "sig", "sketch"])
+            return pa.RecordBatch.from_arrays([rows.column(0), pa.array(n.astype(np.int64)), node, pc.if_else(keep, wide, empty), pc.if_else(keep, thin, empty)], names=["doc_id", "n", "node", "roots", "sketch"])
 
         yield from by_chunk(batches, "text", work, CHUNK)
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, sig binary, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, n long, node long, roots binary, sketch binary")
 
 
 
 def branches(nodes: DataFrame, least: float) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
-    """Tables of small branches (path, node), of large ones that no level would split (path, a: leader, b: node, est), and pairs (a, b, est) of a large branch's nodes with its most similar leader.
+    """Tables of branches that a task follows further (path, node, depth), of larger ones that no level would split (path, a: leader, b: node, est), and pairs (a, b, est) of such a branch's nodes with its most similar leader.
 
     A large branch whose nodes are mostly alike is taken out of the tree at once:
     further tokens would keep it together. Others branch on, up to DEPTH levels.
     """
-    sig = F.col("sig")
     thin = nodes.select("node", "sketch")
-    roots = F.array(*(F.xxhash64(F.lit(r), F.substring(sig, 4 * r + 1, 4)) for r in range(TREES)))
+    roots = F.array(*(F.xxhash64(F.lit(r), F.substring("roots", 4 * r + 1, 4)) for r in range(TREES)))
     level = nodes.select("node", F.explode(roots).alias("path"))
     small: list[DataFrame] = []
     whole: list[DataFrame] = []
@@ -103,8 +105,8 @@ def branches(nodes: DataFrame, least: float) -> tuple[list[DataFrame], list[Data
     for depth in range(DEPTH + 1):
         sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         held = stored(level.join(sizes, "path").select("path", "node", "size"), "branches")
-        small.append(held.filter(F.col("size") <= SMALL).select("path", "node"))
-        large = held.filter(F.col("size") > SMALL).select("path", "node")
+        small.append(held.filter(F.col("size") <= BRANCH).select("path", "node", F.lit(depth).alias("depth")))
+        large = held.filter(F.col("size") > BRANCH).select("path", "node")
         if large.isEmpty():
             break
         chosen = F.array_distinct(F.array(*(F.min_by("node", F.xxhash64("node", "path", F.lit(i))) for i in range(LEADERS))))
@@ -117,9 +119,9 @@ def branches(nodes: DataFrame, least: float) -> tuple[list[DataFrame], list[Data
         alike = near.groupBy("path").agg(F.avg(F.when(F.col("est") >= least, 1.0).otherwise(0.0)).alias("share"))
         done = alike.filter(F.lit(depth == DEPTH) | (F.col("share") >= 0.5)).select("path")
         whole.append(near.join(done, "path", "left_semi"))
-        wide = near.join(done, "path", "left_anti").select("path", F.col("b").alias("node")).join(nodes.select("node", "sig"), "node")
+        wide = near.join(done, "path", "left_anti").select("path", F.col("b").alias("node")).join(thin, "node")
         at = lambda j: F.pmod(F.xxhash64("path", F.lit(j)), F.lit(COORDS)).cast("int")
-        child = lambda j: F.xxhash64(F.col("path"), F.lit(j), F.substring(sig, 4 * at(j) + 1, F.lit(4)))
+        child = lambda j: F.xxhash64(F.col("path"), F.lit(j), F.substring("sketch", at(j) + 1, F.lit(1)))
         one, two = F.array(child(1)), F.array(child(1), child(2))
         level = wide.select("node", F.explode(F.when(F.pmod(F.xxhash64("path", F.lit(3)), F.lit(4)) == 0, two).otherwise(one)).alias("path"))
     return small, whole, pairs
@@ -219,41 +221,80 @@ def _pairs_schema():
     return "a long, b long, est double"
 
 
-def _star(least: float):
-    """In each small branch all pairs are compared on sketches; each connected part gives a pair of its least node with every other."""
+def _tree(least: float):
+    """Groups of (path, node, depth, sketch): the pairs that connect what is alike in the branch of a tree."""
 
     def run(batches):
         for rows, starts in whole_groups(batches):
-            node = rows.column(1).to_numpy()
-            sketch = utf8(rows.column(2))[0].reshape(-1, COORDS)
-            out: list = []
+            path, node, depth = (rows.column(k).to_numpy() for k in range(3))
+            sketch = utf8(rows.column(3))[0].reshape(-1, COORDS)
             two = starts[:-1][np.diff(starts) == 2]
             est = ((sketch[two] == sketch[two + 1]).mean(1) - 1 / 256) * (256 / 255)
-            for k, e in zip(two[est >= least].tolist(), est[est >= least].tolist(), strict=True):
-                out.append((int(min(node[k], node[k + 1])), int(max(node[k], node[k + 1])), e))
+            two, est = two[est >= least], est[est >= least]
+            found = [(np.minimum(node[two], node[two + 1]), np.maximum(node[two], node[two + 1]), est)]
             for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                if j - i < 3:
-                    continue
-                order = i + np.argsort(node[i:j])
-                s = sketch[order]
-                alike = np.stack([_alike(x, s) for x in s]) >= least
-                np.fill_diagonal(alike, True)
-                if alike.sum() == len(s):
-                    continue
-                label = np.arange(len(s))
-                while True:
-                    new = np.where(alike, label, len(s)).min(1)
-                    if (new == label).all():
-                        break
-                    label = new
-                joined = np.flatnonzero(label != np.arange(len(s)))
-                out += [(int(node[order[label[k]]]), int(node[order[k]]), float(_alike(s[k], s[label[k]][None, :])[0])) for k in joined]
-            if out:
-                yield _pair_batch(out)
+                if j - i > 2:
+                    order = i + np.argsort(node[i:j])
+                    found += _follow(node[order], sketch[order], path[i : i + 1].view(np.uint64), int(depth[i]), least)
+            a, b, e = (np.concatenate(x) for x in zip(*found, strict=True))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(e)], names=["a", "b", "est"])
 
     return run
 
 
+def _follow(node: np.ndarray, sketch: np.ndarray, path: np.ndarray, depth: int, least: float) -> list:
+    """Pairs (a, b, est) of a branch whose nodes come in order: small ones all with all, others through leaders or by further tokens."""
+    if len(node) < 2:
+        return []
+    if len(node) <= SMALL:
+        return _compared(node, sketch, np.arange(len(node)), least)
+    leads = np.unique([np.argmin(mix64(node.view(np.uint64) ^ mix64(path + np.uint64(k)))) for k in range(LEADERS)])
+    est = np.stack([_alike(sketch[k], sketch) for k in leads])
+    near = est >= least
+    near[np.arange(len(leads)), leads] = False
+    k, row = np.nonzero(near)
+    out = [(node[leads[k]], node[row], est[k, row])]
+    alone = np.flatnonzero(~near.any(0))
+    if depth >= DEPTH or 2 * (len(node) - len(alone)) >= len(node):
+        return out + _compared(node, sketch, alone, least)
+    for which in (1, 2) if int(mix64(path + np.uint64(3))[0]) % 4 == 0 else (1,):
+        key = mix64(path + np.uint64(16 + which))
+        token = sketch[:, int(key[0] % np.uint64(COORDS))]
+        order = np.argsort(token, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(token[order])) + 1):
+            out += _follow(node[part], sketch[part], mix64(key + token[part[:1]]), depth + 1, least)
+    return out
+
+
+def _compared(node: np.ndarray, sketch: np.ndarray, some: np.ndarray, least: float) -> list:
+    """Rows ``some`` against all: of what is connected, a pair for each row but the least."""
+    label = np.arange(len(node))
+    step = max(1, (32 << 20) // max(1, len(node) * COORDS))
+    hits = []
+    for lo in range(0, len(some), step):
+        part = some[lo : lo + step]
+        same = np.stack([(sketch == sketch[k]).sum(1) for k in part])
+        k, row = np.nonzero((same / COORDS - 1 / 256) * (256 / 255) >= least)
+        keep = part[k] != row
+        hits.append((part[k[keep]], row[keep]))
+    if not hits:
+        return []
+    a, b = (np.concatenate(x) for x in zip(*hits, strict=True))
+    while True:  # roots hook onto smaller roots until every hit lies within one
+        x, y = label[a], label[b]
+        if (x == y).all():
+            break
+        low = np.minimum(x, y)
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while (label != label[label]).any():
+            label = label[label]
+    joined = np.flatnonzero(label != np.arange(len(node)))
+    est = ((sketch[joined] == sketch[label[joined]]).mean(1) - 1 / 256) * (256 / 255)
+    return [(node[label[joined]], node[joined], est)]
+
+
 def _pair_batch(out: list) -> pa.RecordBatch:
     a, b, e = zip(*out, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(e, pa.float64())], names=["a", "b", "est"])
@@ -385,16 +426,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = stored(sketched(source, shingle), "sketches")
-    nodes = stored(rows.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "sig", "sketch")).alias("x")).select("node", F.col("x.doc_id").alias("rep"), "x.sig", "x.sketch"), "nodes")
+    nodes = stored(rows.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "roots", "sketch")).alias("x")).select("node", F.col("x.doc_id").alias("rep"), "x.roots", "x.sketch"), "nodes")
     least = percent / 100 - MARGIN
     small, whole, leaders = branches(nodes, least)
     thin = nodes.select("node", "sketch")
-    members = stored(_union(small).join(thin, "node").select("path", "node", "sketch"), "members")
-    by_path = lambda df: df.repartition("path").sortWithinPartitions("path")
-    star = _union([by_path(members).mapInArrow(_star(least), _pairs_schema()), *leaders])
+    members = _union(small).join(thin, "node").select("path", "node", "depth", "sketch")
+    star = _union([members.repartition("path").sortWithinPartitions("path").mapInArrow(_tree(least), _pairs_schema()), *leaders])
     if whole:
         star = star.union(_beyond(_union(whole), thin, least))
     pairs = stored(star.groupBy("a", "b").agg(F.max("est").alias("est")), "pairs")
+    for used in (*small, *leaders):
+        drop_stored(used)
     # a family is what sketches connect: all pairs that may be similar lie within one
     family = stored(components(pairs).withColumnRenamed("component", "family"), "families")
     sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("k"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import regex
 
-from quantloom.llm import bpe, huffman, language, packing, pretokens, suffix, vptree, weak_quality
+from quantloom.llm import bpe, components, huffman, language, near_dup, packing, pretokens, suffix, vptree, weak_quality
 from quantloom.llm.words import Words
 
 
@@ -234,3 +234,24 @@ def test_runs_cover_every_window():
         for s in range(a, a + n):
             by.setdefault(hashlib.md5(data[s : s + 100].tobytes()).digest(), set()).add(int(h))
     assert all(len(v) == 1 for v in by.values())
+
+
+@pytest.mark.parametrize("small", [128, 8])
+def test_a_branch_of_a_tree(monkeypatch, small):
+    """Near copies of 40 texts: what a task's own tree connects is what all pairs of sketches connect, up to pairs that its tokens part."""
+    monkeypatch.setattr(near_dup, "SMALL", small)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, (40, near_dup.COORDS), dtype=np.uint8)
+    sketch = np.repeat(base, 15, 0)
+    for row in sketch:
+        row[rng.integers(0, near_dup.COORDS, 4)] = rng.integers(0, 256, 4)
+    node = np.sort(rng.choice(10**12, len(sketch), replace=False))
+    sketch = sketch[by := rng.permutation(len(sketch))]
+    found = [p for k in range(8) for p in near_dup._follow(node, sketch, np.array([k], np.uint64), 0, 0.63)]
+    a, b = (np.concatenate([p[k] for p in found]) for k in (0, 1))
+    name, label = components._labels(a, b)
+    want = {}
+    for n, g in zip(node, by // 15, strict=True):
+        want[int(n)] = min(want.get((g, 0), int(n)), int(n))
+        want.setdefault((g, 0), int(n))
+    assert dict(zip(name.tolist(), name[label].tolist(), strict=True)) == {k: v for k, v in want.items() if isinstance(k, int)}

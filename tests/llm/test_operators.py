@@ -158,9 +158,9 @@ def jaccard_components(rows, n, percent):
     return {k: (len(sets[i]), min(least[root(i)])) for i, (k, _) in enumerate(rows)}
 
 
-@pytest.mark.parametrize("small, family", [(128, 512), (4, 512), (4, 3)])
-def test_near_duplicates(spark, docs, nothing, monkeypatch, small, family):
-    monkeypatch.setattr(near_dup, "SMALL", small)
+@pytest.mark.parametrize("branch, family", [(8192, 512), (4, 512), (4, 3)])
+def test_near_duplicates(spark, docs, nothing, monkeypatch, branch, family):
+    monkeypatch.setattr(near_dup, "BRANCH", branch)  # both are read by the driver
     monkeypatch.setattr(near_dup, "FAMILY", family)
     rng = np.random.default_rng(3)
     rows = []
@@ -175,14 +175,16 @@ def test_near_duplicates(spark, docs, nothing, monkeypatch, small, family):
     table = spark.createDataFrame([(k, t, 5, 0) for k, t in rows], "doc_id long, text string, node int, component int")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(table, shingle=4).collect()}
     assert got == jaccard_components(rows, 4, 80)
-    if small == 128:
+    if branch == 8192:
         odd = near_dup.near_duplicates(docs).collect()
         assert len(odd) == len(ROWS) and all(r.kept for r in odd if r.doc_id is None)
         assert {r.component_id for r in odd if r.doc_id in (1, 5)} == {1}
         assert near_dup.near_duplicates(nothing).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("links", [1_000_000, 7])
+def test_components(spark, monkeypatch, links):
+    monkeypatch.setattr(components, "LINKS", links)  # of a task: few, so that star steps are needed
     chain = [(k, k + 1) for k in range(1, 40)] + [(100, 90), (90, 95), (7, 7)]
     got = dict(map(tuple, components.components(spark.createDataFrame(chain, "a long, b long")).collect()))
     assert {got[k] for k in range(1, 41)} == {1} and {got[k] for k in (90, 95, 100)} == {90}
