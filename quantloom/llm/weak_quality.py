@@ -2,10 +2,11 @@
 
 Every rule votes good (1), bad (-1) or abstains (0). The model: a document is good
 with probability ``prior``; a rule that votes is right with probability
-``accuracy`` (its own for good and for bad documents: junk of one kind passes the
-rules against other kinds). Votes form at most 3**RULES
-patterns, so EM runs on exact counts of patterns over all documents, a table of
-bounded size; the posterior of a pattern then decides its documents.
+``accuracy``, its own for good and for bad documents, estimated freely. Several
+rules look at each kind of junk from different sides, so that one wrong accusation
+is outvoted where the others speak for the text. Votes form a table of patterns,
+at most 3**RULES whatever the input, so EM runs on exact counts of patterns over
+all documents; the posterior of a pattern then decides its documents.
 """
 
 from __future__ import annotations
@@ -18,9 +19,8 @@ from pyspark.sql import functions as F
 from .common import by_chunk
 from .words import Words
 
-LEAST_RIGHT = 0.995  # of a rule's votes on good documents
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: (name, good if the value is at most, bad if it is above) on a share per word or line
+#: (name, good if the value is at most, bad if it is above) on a share per word, line or byte
 RULES = (
     ("symbols", 0.02, 0.10),  # characters of #*$%&|<> per word
     ("shouting", 0.20, 0.50),  # ASCII capitals per ASCII letter
@@ -28,15 +28,23 @@ RULES = (
     ("lines", 0.10, 0.40),  # repeated lines
     ("bare", 0.08, 0.25),  # words without a letter (an ASCII letter or a byte above 127)
     ("marks", 0.10, 0.30),  # exclamation marks per word
+    ("unlettered", 0.12, 0.25),  # bytes of words that are neither letters nor digits
+    ("doubled", 0.02, 0.10),  # equal neighbours that are neither letters nor digits, per word
+    ("endless", 30.0, 60.0),  # words per end of a sentence (a word that ends in .?!)
+    ("odd", 0.12, 0.30),  # words that are not letters and digits with at most one of .,;:?! after them
 )
-_IS = {name: np.zeros(256, bool) for name in ("symbol", "upper", "letter", "lead", "bang")}
+_IS = {name: np.zeros(256, bool) for name in ("symbol", "upper", "letter", "lead", "bang", "mark", "stop", "after", "sign")}
 _IS["symbol"][list(b"#*$%&|<>")] = True
 _IS["upper"][65:91] = True
 _IS["letter"][[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _IS["lead"][:] = True
 _IS["lead"][128:192] = False
 _IS["bang"][33] = True
-FEATURES = (*BASE, "n_lines", "n_upper", "n_letters", "n_bare", "n_bangs")
+_IS["mark"][[k for k in range(33, 127) if not chr(k).isalnum()]] = True
+_IS["sign"][[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_IS["stop"][list(b".?!")] = True
+_IS["after"][list(b".,;:?!")] = True
+FEATURES = (*BASE, "n_lines", "n_upper", "n_letters", "n_bare", "n_bangs", "word_bytes", "n_signs", "n_doubled", "n_ends", "n_plain")
 
 
 def _per_doc(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -54,6 +62,16 @@ def features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     out["n_bare"] = np.bincount(w.doc, letter[w.end] == letter[w.start], docs).astype(np.int64)
     out["n_symbols"] = _per_doc(_IS["symbol"][data], offsets)
     out["n_upper"], out["n_letters"], out["n_bangs"] = (_per_doc(_IS[k][data], offsets) for k in ("upper", "letter", "bang"))
+    sign = np.concatenate([[0], np.cumsum(_IS["sign"][data])])
+    wide, last = w.end - w.start, data[w.end - 1]
+    out["n_signs"] = np.bincount(w.doc, sign[w.end] - sign[w.start], docs).astype(np.int64)
+    out["word_bytes"] = np.bincount(w.doc, wide, docs).astype(np.int64)
+    out["n_ends"] = np.bincount(w.doc, _IS["stop"][last], docs).astype(np.int64)
+    out["n_plain"] = np.bincount(w.doc, (sign[w.end] > sign[w.start]) & (sign[w.end] - sign[w.start] >= wide - _IS["after"][last]), docs).astype(np.int64)
+    twice = np.zeros(len(data), bool)
+    twice[1:] = (data[1:] == data[:-1]) & _IS["mark"][data[1:]]
+    twice[offsets[:-1][offsets[:-1] < len(data)]] = False
+    out["n_doubled"] = _per_doc(twice, offsets)
     # lines with a word: a line is its bytes, hashed; the first of equal lines of a document counts as none
     stops = np.flatnonzero(data == 10)
     begin = np.unique(np.concatenate([offsets[:-1], stops + 1]))
@@ -107,19 +125,26 @@ def counted(docs: DataFrame, key: str, text: str) -> DataFrame:
 def voted(features: DataFrame) -> DataFrame:
     """Adds a column per rule."""
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
-    value = {"symbols": share("n_symbols", "n_words"), "shouting": share("n_upper", "n_letters"), "repeats": share("n_repeat_words", "n_words"), "lines": share("n_dup_lines", "n_lines"), "bare": share("n_bare", "n_words"), "marks": share("n_bangs", "n_words")}
+    outside = lambda a, b: F.col(b) - F.col(a)
+    value = {
+        "unlettered": F.coalesce(F.try_divide(outside("n_signs", "word_bytes"), F.col("word_bytes")), F.lit(0.0)),
+        "doubled": share("n_doubled", "n_words"),
+        "endless": F.col("n_words") / (F.col("n_ends") + 1),
+        "odd": F.coalesce(F.try_divide(outside("n_plain", "n_words"), F.col("n_words")), F.lit(0.0)),
+        "symbols": share("n_symbols", "n_words"), "shouting": share("n_upper", "n_letters"), "repeats": share("n_repeat_words", "n_words"), "lines": share("n_dup_lines", "n_lines"), "bare": share("n_bare", "n_words"), "marks": share("n_bangs", "n_words"),
+    }
     return features.withColumns({f"vote_{n}": F.when(value[n] <= good, 1).when(value[n] > bad, -1).otherwise(0) for n, good, bad in RULES})
 
 
-def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
+def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[float, np.ndarray, np.ndarray]:
     """(prior, accuracy[rule, good/bad], posterior of each pattern).
 
-    Accuracies start at 0.95 on good documents and 0.35 on bad ones, and stay at
-    LEAST_RIGHT or more on good ones: rules may miss junk but seldom accuse, so a
-    frequent accusation speaks of bad documents and not of a bad rule. A weak beta
-    prior holds for rules that hardly vote.
+    Only the start tells good from bad: 0.9 right on good documents and 0.6 on bad
+    ones. Accuracies move freely from there; a beta prior worth ten votes of the
+    start's rates keeps rules that hardly vote defined.
     """
-    prior, accuracy = 0.8, np.tile([0.95, 0.35], (votes.shape[1], 1))
+    start = np.array([0.9, 0.6])
+    prior, accuracy = 0.8, np.tile(start, (votes.shape[1], 1))
     good, bad = votes > 0, votes < 0
     posterior = np.full(len(votes), prior)
     for _ in range(rounds):
@@ -131,8 +156,8 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int
         if done:
             break
         p, q = counts * posterior, counts * (1 - posterior)
-        prior = float(np.clip((p.sum() + 8) / (counts.sum() + 10), 0.01, 0.99))
-        accuracy = np.stack([(p @ good + 9.5) / (p @ (good | bad) + 10), (q @ bad + 3.5) / (q @ (good | bad) + 10)], 1).clip([LEAST_RIGHT, 0.02], 0.9995)
+        prior = float((p.sum() + 8) / (counts.sum() + 10))
+        accuracy = np.stack([(p @ good + 10 * start[0]) / (p @ (good | bad) + 10), (q @ bad + 10 * start[1]) / (q @ (good | bad) + 10)], 1)
     return prior, accuracy, posterior
 
 
@@ -145,14 +170,13 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     """
     names = [f"vote_{n}" for n, _, _ in RULES]
     votes = voted(counted(docs, key, text))
-    found = votes.groupBy(*names).count().collect()  # at most 3**RULES rows
+    found = votes.groupBy(*names).count().collect()  # patterns of votes: at most 3**RULES, a few hundred in practice
     table = np.array([[r[n] for n in names] for r in found], np.int64).reshape(-1, len(names))
     _, _, posterior = expectation_maximisation(table, np.array([r["count"] for r in found], float))
-    code = lambda row: sum((int(v) + 1) * 3**k for k, v in enumerate(row))
-    by_code = [1.0] * 3 ** len(names)
-    for row, p in zip(table, posterior, strict=True):
-        by_code[code(row)] = float(p)
-    pattern = sum(((F.col(n) + 1) * 3**k for k, n in enumerate(names)), F.lit(0))
+    digits = [3**k for k in range(len(names))]
+    by_code = {int((row + 1) @ digits): float(p) for row, p in zip(table, posterior, strict=True)}
+    lookup = F.create_map(*(F.lit(x) for kv in sorted(by_code.items()) for x in kv)) if by_code else F.create_map(F.lit(0), F.lit(1.0))
+    pattern = sum(((F.col(n) + 1) * d for n, d in zip(names, digits, strict=True)), F.lit(0))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = votes.withColumn("posterior", F.get(F.lit(by_code), pattern)).withColumn("base_failed", failed)
+    out = votes.withColumn("posterior", F.element_at(lookup, pattern)).withColumn("base_failed", failed)
     return out.select(key, *BASE, "base_failed", (~F.col("base_failed") & (F.col("posterior") >= threshold)).alias("kept"), "posterior")
