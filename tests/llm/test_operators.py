@@ -228,6 +228,10 @@ def test_quality(docs, nothing, spark):
     table = spark.createDataFrame([(k, good if k % 3 else bad) for k in range(60)] + [(99, "short"), (100, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in weak_quality.quality(table).collect()}
     assert all(got[k].kept == bool(k % 3) for k in range(60))
+    accused = " ".join(f"word{k}" for k in range(80)) + " word1 word2 word3 word4" * 12  # one rule speaks against it, the others outvote that
+    many = spark.createDataFrame([(k, good if k % 3 else bad, 0) for k in range(600)] + [(700, accused, 1), (700, accused, 1), (701, good * 3000, 2)], "doc_id long, text string, posterior int")
+    more = {r.doc_id: r for r in weak_quality.quality(many).collect()}
+    assert more[700].n_repeat_words > 0.3 * more[700].n_words and more[700].kept and not more[0].kept and more[701].n_words == 240_000 - 2999
     assert got[99].base_failed and got[100].base_failed and not got[100].kept
     assert weak_quality.quality(docs).count() == len(ROWS) and weak_quality.quality(nothing).count() == 0
 
@@ -248,6 +252,11 @@ def test_language(spark, docs, nothing):
     assert got[1000].lang_pred == got[1001].lang_pred == got[1002].lang_pred == "und"
     assert all(0 <= r.score <= 1 for r in got.values())
     assert {r.lang_pred for r in language.identify(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).collect()} == {"und"}
+    net = language.train(table)
+    others = ["Привет, как дела сегодня", "xkcd bfgt zzqw plkj vvbx", "aGVsbG8gd29ybGQhIHRoaXMgaXMg", rows[0][1], rows[1][1] + " 12", "the " * 20_000, None, ""]
+    odd = spark.createDataFrame([(k, t, "x", k) for k, t in enumerate(others)], "doc_id long, text string, score string, key int")
+    kept = language.keep_recognised(odd, net).collect()
+    assert sorted(r.doc_id for r in kept) == [3, 4, 5] and kept[0].score == "x"
     assert language.identify(nothing).count() == 0 and language.identify(docs).count() == len(ROWS)
 
 
