@@ -14,13 +14,12 @@ from quantloom.llm import language, near_dup, packing, secret_scan, suffix
 from quantloom.llm.common import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-LEAST_SCORE = 0.26  # of four languages, one drawn by chance has 0.25
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the language network rejects: no letters, or no language it is any surer of than of others."""
+    """Drop documents that the language network rejects: without letters (null and empty texts too), or far more likely text of no known language."""
     net = language.train(docs)
-    return language.keep_recognised(docs, net, LEAST_SCORE).select(*COLUMNS)
+    return language.keep_recognised(docs, net).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
