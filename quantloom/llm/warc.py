@@ -152,19 +152,23 @@ def parse_record(member: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 
 def plan_records(pages: DataFrame, key: str = "page_id", payload: str = "html") -> DataFrame:
-    """Adds payload (binary), digest and refers_to (null: a response) to every row.
+    """(key, url, payload, size, digest, refers_to) of every row; refers_to is null for a response, payload for a revisit. Other columns are not read, whatever their names.
 
     Of equal payloads of MIN_REVISIT bytes or more the largest key is the
     response. Rows that repeat that key too are responses as well; rows of a null
     key revisit it, and are responses where every key of the group is null.
     """
-    data = pages.withColumn("payload", F.coalesce(F.encode(F.col(payload), "UTF-8"), F.lit(b""))).withColumn("digest", F.sha1("payload"))
+    url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
+    data = pages.select(F.col(key).alias("key"), url.alias("url"), F.coalesce(F.encode(F.col(payload), "UTF-8"), F.lit(b"")).alias("payload"))
+    data = data.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
     # counts and maxima of digests alone, partially aggregated before the shuffle: a hot payload is one row per task
-    groups = data.filter(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(key).alias("response"))
-    repeated = groups.filter("n > 1 and response is not null").select("digest", "response")
-    out = data.join(repeated, "digest", "left")
-    revisit = F.col("response").isNotNull() & (F.col(key).isNull() | (F.col(key) < F.col("response")))
-    return out.select(F.col(key).alias("key"), "url", F.when(~revisit | F.col("response").isNull(), F.col("payload")).alias("payload"), F.octet_length("payload").cast("long").alias("size"), "digest", F.when(revisit, F.col("response")).alias("refers_to"))
+    groups = data.filter(F.col("size") >= MIN_REVISIT).groupBy(F.col("digest").alias("twin")).agg(F.count(F.lit(1)).alias("n"), F.max("key").alias("response"))
+    repeated = groups.filter("n > 1 and response is not null").select("twin", "response")
+    # a small payload has no twin, and rows of one (the empty one, say) are dealt by their keys
+    twin = F.when(F.col("size") >= MIN_REVISIT, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("key", "url").cast("string")))
+    out = data.withColumn("twin", twin).join(repeated, "twin", "left")
+    revisit = F.col("response").isNotNull() & (F.col("key").isNull() | (F.col("key") < F.col("response")))
+    return out.select("key", "url", F.when(~revisit | F.col("response").isNull(), F.col("payload")).alias("payload"), "size", "digest", F.when(revisit, F.col("response")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, key: str = "page_id", payload: str = "html", zip64: bool = False) -> DataFrame:
