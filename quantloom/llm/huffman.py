@@ -140,11 +140,11 @@ class Writer:
         self.file.write(docs.tobytes() + counts.tobytes() + blocks.tobytes())
         self.file.write(struct.pack("<4q", self.place, len(docs), len(blocks), len(self.code.lengths)) + MAGIC)
         self.file.close()
-        return len(docs), int(counts.sum())
+        return len(docs), int(np.abs(counts).sum())
 
 
 def read_file(path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc_ids, ids per document, nothing) once, then (.., .., ids) of every block, by range reads."""
+    """(doc_ids, ids per document - below zero where the id is null -, nothing) once, then (.., .., ids) of every block, by range reads."""
     with files.open_random(path) as f:
         size = f.size()
         place, n_docs, n_blocks, vocabulary = struct.unpack("<4q", files.read_range(f, size - 40, 32))
@@ -185,7 +185,7 @@ def write_token_files(docs: DataFrame, path: str, pattern: str, vocabulary: int,
     """Encode every text, write the ids in ascending order of ``key``; returns (file, its first id's place, documents, ids) in that order.
 
     Documents with equal keys follow each other in the order of their ids; a null
-    key sorts first and reads back as the least long; a null text gives the end
+    key sorts first and stays null (its count is stored below zero); a null text gives the end
     id alone; an empty table gives no files. What reaches the driver are the
     counts by id (bounded by the vocabulary) and a line per file.
     """
@@ -216,8 +216,10 @@ def write_token_files(docs: DataFrame, path: str, pattern: str, vocabulary: int,
             data, off = utf8(b.column(1))
             if out is None:
                 out = Writer(name, code)
-            doc_ids = b.column(0).cast(pa.int64()).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
-            out.add(doc_ids, np.diff(off) // width, data.view(dtype).astype(np.int32))
+            counts = np.diff(off) // width
+            unnamed = b.column(0).is_null().to_numpy(zero_copy_only=False)
+            doc_ids = b.column(0).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+            out.add(doc_ids, np.where(unnamed, -counts, counts), data.view(dtype).astype(np.int32))
         if out is not None:
             n_docs, n_ids = out.close()
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([name]), pa.array([n_docs]), pa.array([n_ids])], names=["part", "file", "docs", "ids"])
@@ -244,6 +246,7 @@ def read_token_files(spark, listed: list[tuple[str, int, int, int]], key: str =
             for name, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 blocks = read_file(name)
                 docs, counts, _ = next(blocks)
+                unnamed, counts = counts < 0, np.abs(counts)
                 crc = np.zeros(len(docs), np.int64)
                 i, left, running = 0, int(counts[0]) if len(counts) else 0, 0
                 for _, _, ids in blocks:
@@ -256,7 +259,7 @@ def read_token_files(spark, listed: list[tuple[str, int, int, int]], key: str =
                             crc[i], running, i = running, 0, i + 1
                             left = int(counts[i]) if i < len(counts) else 0
                 start = base + np.cumsum(counts) - counts
-                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(start), pa.array(counts), pa.array(crc)], names=[key, "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, mask=unnamed), pa.array(start), pa.array(counts), pa.array(crc)], names=[key, "start", "n_tokens", "ids_crc32"])
 
     names = spark.createDataFrame([x[:2] for x in listed], "file string, base long")
     return names.repartition(len(listed)).mapInArrow(read, schema)

@@ -1,6 +1,7 @@
 """Operators on small tables: nulls, empty and long texts, ties, repeated rows, clashing columns, empty tables."""
 
 import hashlib
+import re
 import zlib
 from collections import defaultdict
 
@@ -40,10 +41,9 @@ def crc(ids):
 
 def test_token_files(spark, docs, nothing, monkeypatch):
     monkeypatch.setattr(huffman, "FILE_BYTES", 20_000)
-    known = docs.filter("doc_id is not null")
-    rows = huffman.read_token_files(spark, huffman.write_token_files(known, JSON, P.PATTERN, 50_257)).orderBy("start").collect()
+    rows = huffman.read_token_files(spark, huffman.write_token_files(docs, JSON, P.PATTERN, 50_257)).orderBy("start").collect()
     place = 0
-    for r, (k, t, _) in zip(rows, sorted((r for r in ROWS if r[0]), key=lambda r: r[0]), strict=True):
+    for r, (k, t, _) in zip(rows, sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0)), strict=True):
         want = [*ids_of(t), 0]
         assert tuple(r) == (k, place, len(want), crc(want))
         place += len(want)
@@ -206,6 +206,31 @@ def test_secrets(spark, docs, nothing):
     assert secret_scan.digests(docs).count() == len(ROWS) and secret_scan.digests(nothing).count() == 0
 
 
+def test_secrets_of_a_long_text_and_clashing_names(spark):
+    """Thousands of spans: positions by a plain search; linked parts where their scopes meet."""
+    rng = np.random.default_rng(3)
+    parts = []
+    for k in range(6000):
+        parts.append("".join(rng.choice(list("0123456789abcdef"), 30)) if k % 3 else f"é{k} " + "x" * 700 * (k % 2) + f" user: bobby{k} " + ("x" * 700 if k % 2 else "password = secretword"))
+    text = " ".join(parts)
+    rows = [(1, text, "a", 1, None), (2, None, "b", 2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, base int, _hex string")
+    got = {r.doc_id: r for r in secret_scan.digests(docs).collect()}
+    hexes = [m.span() for m in re.finditer("[0-9a-f]{24,}", text)]
+    assigns = [m.span() for m in re.finditer(secret_scan.ASSIGN, text)]
+    accounts = [m.span() for m in re.finditer(secret_scan.ACCOUNT, text)]
+    near = [x for x in accounts if any(o[0] < x[1] + secret_scan.SCOPE and x[0] < o[1] + secret_scan.SCOPE for o in assigns)]
+    want = sorted([(*x, "hex") for x in hexes] + [(*x, "assign") for x in assigns] + [(*x, "account") for x in near])
+    assert 0 < len(near) < len(accounts)
+    assert got[1].spans == ",".join(f"{k}:{a}:{b}" for a, b, k in want) and (got[1].n_hex, got[1].n_assign) == (len(hexes), len(assigns))
+    masked = {r.doc_id: r for r in secret_scan.redacted(docs).collect()}
+    out, place = "", 0
+    for a, b, _ in want:
+        out, place = out + text[place:a] + "[secret]", b
+    assert masked[1].text == out + text[place:] and masked[1].spans == "a" and masked[1].base == 1 and masked[2].text is None
+    assert secret_scan.scan(docs).columns == ["doc_id", "text", "_hex", "base", "spans"]
+
+
 def test_secret_keys_next_to_an_equals_sign(spark):
     key40, access = "wJalrXUtnFEMI/K7MDENG+bPxRfiCYEXAMPLEKEY", "AKIA" + "B" * 16
     before = ("aws_secret_access_key=", "SecretAccessKey=", "key=", "x==", "aws_secret_access_key = ", "k: '")
@@ -264,7 +289,7 @@ def test_language(spark, docs, nothing):
 def test_archives(spark, zip64):
     big, other = "é" * 700, "b" * 1200
     rows = [(1, "http://a", big), (5, "http://b\r\n", big), (3, None, big), (2, "u", "small"), (4, "u", "small"), (7, "u", None), (8, "u", other), (8, "u", other), (None, "u", big), (9, "u", "")]
-    pages = spark.createDataFrame([(k, u, h, "x") for k, u, h in rows], "page_id long, url string, html string, digest string")
+    pages = spark.createDataFrame([(k, u, h, "x", 1, None, 2, 3) for k, u, h in rows], "page_id long, url string, html string, digest string, response int, payload string, key int, size int")
     manifest = warc.write_archives(pages, zip64=zip64)
     got = warc.read_archives(manifest).collect()
     assert len(got) == len(rows)
