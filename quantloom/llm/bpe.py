@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import chunks, utf8
+from .common import chunks, tidily, utf8
 from .pretokens import PATTERN, PretokenEncoder
 
 MAX_WORDS = 700_000  # pre-tokens kept per worker; beyond it the table starts anew
@@ -239,4 +239,4 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str, text: str = "text", ke
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts), pa.array(shown, pa.string()), pa.array(back, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(key, text).mapInArrow(tidily(run), f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,9 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4 << 20  # text bytes that one numpy pass works on
+BATCH_CONF, BATCH_BYTES, SPARK_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20, 64 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of about BATCH_BYTES on their way to Python workers, where the session has Spark's default of 64 MB: whole texts make large batches, and executor and worker hold one each."""
+    if spark.conf.get(BATCH_CONF, f"{SPARK_BATCH_BYTES}b") == f"{SPARK_BATCH_BYTES}b":
+        spark.conf.set(BATCH_CONF, f"{BATCH_BYTES}b")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -33,6 +42,7 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: lineage ends there, and a lost executor loses nothing."""
+    bounded_batches(df.sparkSession)
     path = fresh_path(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -81,6 +91,34 @@ def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+def release() -> None:
+    """Hand freed memory back to the machine: Spark keeps a worker for later tasks, beside others of its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
+def tidied(work: Callable, *args):
+    """``work(*args)``, then :func:`release`."""
+    try:
+        return work(*args)
+    finally:
+        release()
+
+
+def tidily(run: Callable) -> Callable:
+    """A worker over batches that ends with :func:`release`."""
+
+    def worker(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return worker
+
+
 def by_chunk(batches: Iterator[pa.RecordBatch], column: str, work: Callable, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """``work(rows, data, offsets)`` over pieces of every Arrow batch; it returns a RecordBatch or None."""
     for batch in batches:

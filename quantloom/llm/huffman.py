@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe, files
-from .common import binary_array, drop_stored, fresh_path, parts_for, stored, utf8
+from .common import binary_array, drop_stored, fresh_path, parts_for, stored, tidily, utf8
 
 MAGIC = b"QLHUF1\0\0"
 MAX_BITS, BLOCK, LANE = 18, 1 << 16, 256
@@ -171,7 +171,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, end_id: int, dtype: str, k
 
         yield from bpe.encode_batches(batches, path, pattern, work)
 
-    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, f"{key} {kind}, ids binary")
+    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(tidily(run), f"{key} {kind}, ids binary")
 
 
 def _with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -226,7 +226,7 @@ def write_token_files(docs: DataFrame, path: str, pattern: str, vocabulary: int,
 
     n_bytes = int(totals.sum()) * width
     parts = ids.repartitionByRange(parts_for(n_bytes, FILE_BYTES), key).sortWithinPartitions(key, "ids")
-    manifest = stored(parts.mapInArrow(write, "part long, file string, docs long, ids long"), "huffman-manifest")
+    manifest = stored(parts.mapInArrow(tidily(write), "part long, file string, docs long, ids long"), "huffman-manifest")
     place, out = 0, []
     for r in manifest.orderBy("part").collect():
         out.append((r.file, place, r.docs, r.ids))
@@ -262,4 +262,4 @@ def read_token_files(spark, listed: list[tuple[str, int, int, int]], key: str =
                 yield pa.RecordBatch.from_arrays([pa.array(docs, mask=unnamed), pa.array(start), pa.array(counts), pa.array(crc)], names=[key, "start", "n_tokens", "ids_crc32"])
 
     names = spark.createDataFrame([x[:2] for x in listed], "file string, base long")
-    return names.repartition(len(listed)).mapInArrow(read, schema)
+    return names.repartition(len(listed)).mapInArrow(tidily(read), schema)

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_chunk, chunks, utf8
+from .common import bounded_batches, by_chunk, chunks, tidily, utf8
 
 HIDDEN, STEPS, BATCH = 8, 300, 192
 SAMPLE_DOCS, SAMPLE_WINDOWS, STRETCH = 300, 24, 64
@@ -331,7 +331,8 @@ def keep_recognised(docs: DataFrame, net: Network | None, key: str = "doc_id", t
                 known = [x for p in predict([view]) for x in p.column(4).to_pylist()]
                 yield b.filter(pa.array(known, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(tidily(run), docs.schema)
 
 
 _ASCII_LETTER = np.zeros(256, bool)
@@ -350,4 +351,4 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """
     net = net or train(docs, key, text, lang)
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(_predictions(net, key), f"{key} {kind}, held_out boolean, lang_pred string, score double, recognised boolean")
+    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(tidily(_predictions(net, key)), f"{key} {kind}, held_out boolean, lang_pred string, score double, recognised boolean")

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_array, by_chunk, drop_stored, mix64, stored, utf8
+from .common import binary_array, by_chunk, drop_stored, mix64, stored, tidily, utf8
 from .components import components
 from .words import Words
 
@@ -86,7 +86,7 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
 
         yield from by_chunk(batches, "text", work, CHUNK)
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, roots binary, sketch binary")
+    return docs.mapInArrow(tidily(run), "doc_id long, n long, node long, roots binary, sketch binary")
 
 
 
@@ -175,7 +175,7 @@ def _beyond(whole: DataFrame, thin: DataFrame, least: float) -> DataFrame:
             if out:
                 yield _pair_batch(out)
 
-    return fixed.union(copied).repartition("path").sortWithinPartitions("path").mapInArrow(run, _pairs_schema())
+    return fixed.union(copied).repartition("path").sortWithinPartitions("path").mapInArrow(tidily(run), _pairs_schema())
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -393,7 +393,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int
             yield from by_chunk([kept.select([0, 1])], "text", work, CHUNK)
 
     keyed = docs.withColumn("bit", F.expr(f"bitmap_bit_position(pmod(xxhash64(doc_id), {BITS}l) + 1) + (bitmap_bucket_number(pmod(xxhash64(doc_id), {BITS}l) + 1) - 1) * 32768"))
-    return keyed.mapInArrow(sets, "rep long, node long, items binary").join(wanted, ["rep", "node"], "left_semi").groupBy("node").agg(F.first("items").alias("items"))
+    return keyed.mapInArrow(tidily(sets), "rep long, node long, items binary").join(wanted, ["rep", "node"], "left_semi").groupBy("node").agg(F.first("items").alias("items"))
 
 
 def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -431,7 +431,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     small, whole, leaders = branches(nodes, least)
     thin = nodes.select("node", "sketch")
     members = _union(small).join(thin, "node").select("path", "node", "depth", "sketch")
-    star = _union([members.repartition("path").sortWithinPartitions("path").mapInArrow(_tree(least), _pairs_schema()), *leaders])
+    star = _union([members.repartition("path").sortWithinPartitions("path").mapInArrow(tidily(_tree(least)), _pairs_schema()), *leaders])
     if whole:
         star = star.union(_beyond(_union(whole), thin, least))
     pairs = stored(star.groupBy("a", "b").agg(F.max("est").alias("est")), "pairs")
@@ -444,7 +444,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     few = placed.filter(F.col("k") <= FAMILY)
     items = full_sets(source, nodes, few, shingle).join(few.select("node", "family"), "node")
     exact = lambda batches: exact_links(batches, percent)
-    grouped = lambda df: df.repartition("group").sortWithinPartitions("group").mapInArrow(exact, "a long, b long")
+    grouped = lambda df: df.repartition("group").sortWithinPartitions("group").mapInArrow(tidily(exact), "a long, b long")
     links = stored(grouped(items.select(F.col("family").alias("group"), "node", F.lit(0).alias("side"), "items")), "links")
     # a small family's links are stars around the least node, and its nodes are in no other family
     found = links.select(F.col("b").alias("node"), F.col("a").alias("component")).union(links.select(F.col("a"), F.col("a")).distinct())

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import binary_array, mix64, parts_for, stored, utf8
+from .common import binary_array, mix64, parts_for, stored, tidily, utf8
 from .huffman import _with_end
 
 DIMS, BITS = 3, 16
@@ -123,7 +123,7 @@ def pack_by_curve(docs: DataFrame, path: str, pattern: str, end_id: int = 1, len
         yield from bpe.encode_batches(batches, path, pattern, work)
 
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    coded = stored(source.mapInArrow(encode, f"key {kind}, curve_key long, ids binary"), "packing-ids")
+    coded = stored(source.mapInArrow(tidily(encode), f"key {kind}, curve_key long, ids binary"), "packing-ids")
     total = int(coded.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0])
 
     def pack(batches):
@@ -169,7 +169,7 @@ def pack_by_curve(docs: DataFrame, path: str, pattern: str, end_id: int = 1, len
 
     parts = coded.repartitionByRange(parts_for(total, RANGE_BYTES), "curve_key", "key").sortWithinPartitions("curve_key", "key", "ids")
     schema = f"doc {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, curve_key long"
-    return parts.select("key", "curve_key", "ids").mapInArrow(pack, schema).withColumnRenamed("doc", key)
+    return parts.select("key", "curve_key", "ids").mapInArrow(tidily(pack), schema).withColumnRenamed("doc", key)
 
 
 def _joined(held: list) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:

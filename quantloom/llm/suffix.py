@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_array, chunks, mix64, stored, text_bytes, utf8
+from .common import binary_array, chunks, mix64, stored, text_bytes, tidied, tidily, utf8
 
 WINDOW, GRAM = 100, 20
 SPAN = WINDOW - GRAM + 1  # grams in a window
@@ -346,8 +346,8 @@ def repeats(docs: DataFrame, total: int) -> tuple[DataFrame, int]:
         keep = state >= 0
         return pa.Table.from_batches([_settled(key[keep] % shards, state[keep].astype(np.int8), key[keep], at[keep], x[keep], anchor[keep])], SETTLED)
 
-    pieces = docs.mapInArrow(find, _shape(5))
-    settled = stored(pieces.groupBy("k").applyInArrow(settle, "k int, state tinyint, c0 binary, c1 binary, c2 binary, c3 binary"), "runs")
+    pieces = docs.mapInArrow(tidily(find), _shape(5))
+    settled = stored(pieces.groupBy("k").applyInArrow(lambda t: tidied(settle, t), "k int, state tinyint, c0 binary, c1 binary, c2 binary, c3 binary"), "runs")
     known = settled.filter("state = 0").select("k", "c0", "c1", "c2")
     unsure = settled.filter("state > 0")
 
@@ -404,8 +404,8 @@ def repeats(docs: DataFrame, total: int) -> tuple[DataFrame, int]:
         return pa.Table.from_batches([_packed(key[run] % shards, [key[run], place, x[run] >> np.uint32(7) << np.uint32(7) | (n - 1).astype(np.uint32)])])
 
     sharded = _with_shard(_holding(docs, unsure, True), shards)
-    sent = sharded.groupBy("k").cogroup(unsure.groupBy("k")).applyInArrow(send, _shape(4))
-    resolved = sent.groupBy("k").applyInArrow(resolve, _shape(3))
+    sent = sharded.groupBy("k").cogroup(unsure.groupBy("k")).applyInArrow(lambda k, left, right: tidied(send, k, left, right), _shape(4))
+    resolved = sent.groupBy("k").applyInArrow(lambda t: tidied(resolve, t), _shape(3))
     return stored(known.union(resolved), "repeats"), shards
 
 
@@ -544,9 +544,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
         parts[:2] = [p.chunk(0) if isinstance(p, pa.ChunkedArray) else p for p in parts[:2]]
         return pa.Table.from_batches([result(left, parts)])
 
-    clean = _holding(rows, found, False, bitmap).mapInArrow(plain, schema)
+    clean = _holding(rows, found, False, bitmap).mapInArrow(tidily(plain), schema)
     touched = _with_shard(_holding(rows, found, True, bitmap), shards)
-    changed = touched.groupBy("k").cogroup(found.groupBy("k")).applyInArrow(cut, schema)
+    changed = touched.groupBy("k").cogroup(found.groupBy("k")).applyInArrow(lambda k, left, right: tidied(cut, k, left, right), schema)
     return clean.union(changed).withColumnRenamed("key", key)
 
 
