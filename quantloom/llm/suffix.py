@@ -34,9 +34,9 @@ from .common import binary_array, chunks, mix64, stored, text_bytes, tidied, tid
 
 WINDOW, GRAM = 100, 20
 SPAN = WINDOW - GRAM + 1  # grams in a window
-ANCHOR_SHARD = 8 << 20  # text bytes for which one shard of anchors stands
-TEXT_SHARD = 6 << 20  # text bytes of one shard of documents
-OPEN_SHARD = 4 << 20  # text bytes for which one shard of open runs stands
+ANCHOR_SHARD = 4 << 20  # text bytes for which one shard of anchors stands
+TEXT_SHARD = 3 << 20  # text bytes of one shard of documents
+OPEN_SHARD = 2 << 20  # text bytes for which one shard of open runs stands
 CHUNK_BYTES = 1 << 20  # text bytes of one numpy pass
 PART = 1 << 20  # bytes of open runs in one suffix array
 WIDE = 4096  # different runs of one anchor, beyond which its windows are spread
@@ -403,7 +403,7 @@ def repeats(docs: DataFrame, total: int) -> tuple[DataFrame, int]:
         place = (at[run] + inner).astype(np.int32)
         return pa.Table.from_batches([_packed(key[run] % shards, [key[run], place, x[run] >> np.uint32(7) << np.uint32(7) | (n - 1).astype(np.uint32)])])
 
-    sharded = _with_shard(_holding(docs, unsure, True), shards)
+    sharded = _with_shard(_holding(docs, _bitmap(unsure)), shards)
     sent = sharded.groupBy("k").cogroup(unsure.groupBy("k")).applyInArrow(lambda k, left, right: tidied(send, k, left, right), _shape(4))
     resolved = sent.groupBy("k").applyInArrow(lambda t: tidied(resolve, t), _shape(3))
     return stored(known.union(resolved), "repeats"), shards
@@ -476,9 +476,8 @@ def _bitmap(found: DataFrame) -> np.ndarray:
     return out
 
 
-def _holding(docs: DataFrame, found: DataFrame, yes: bool, bitmap: np.ndarray | None = None) -> DataFrame:
-    """Documents whose key's bit is set (``yes``) or not; a few of the former hold nothing."""
-    bitmap = _bitmap(found) if bitmap is None else bitmap
+def _held(bitmap: np.ndarray, yes: bool):
+    """Of batches of documents those whose key's bit is set (``yes``) or not; a few of the former hold nothing."""
 
     def run(batches):
         for b in batches:
@@ -486,7 +485,11 @@ def _holding(docs: DataFrame, found: DataFrame, yes: bool, bitmap: np.ndarray |
             hit = (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
             yield b.filter(pa.array(hit if yes else ~hit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return run
+
+
+def _holding(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    return docs.mapInArrow(_held(bitmap, True), docs.schema)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
@@ -544,8 +547,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
         parts[:2] = [p.chunk(0) if isinstance(p, pa.ChunkedArray) else p for p in parts[:2]]
         return pa.Table.from_batches([result(left, parts)])
 
-    clean = _holding(rows, found, False, bitmap).mapInArrow(tidily(plain), schema)
-    touched = _with_shard(_holding(rows, found, True, bitmap), shards)
+    untouched = _held(bitmap, False)
+    clean = rows.mapInArrow(tidily(lambda batches: plain(untouched(batches))), schema)  # one worker a task for both steps
+    touched = _with_shard(_holding(rows, bitmap), shards)
     changed = touched.groupBy("k").cogroup(found.groupBy("k")).applyInArrow(lambda k, left, right: tidied(cut, k, left, right), schema)
     return clean.union(changed).withColumnRenamed("key", key)
 
