@@ -193,13 +193,14 @@ def library(b: Base) -> dict[str, dict[str, E]]:
         "vol_breakout": (atr / (nz(sma(atr, 20)) + EPS) - 1) * when(m.gt(0), 1.0, 0.0),
         "ma_cloud": 0.6 * (close - sma(close, 50)) / (atr20 + EPS) + 0.4 * (close - sma(close, 200)) / (atr20 + EPS),
     }
+    adv = sma(b.dollar, w.adv)
     parkinson = sma(square(b.ln_range), 20) / (4 * math.log(2))
     out["risk"] = {
-        "idio_tail_risk": -(roll("q0.05", 20, resid, mp=10) / (std(resid, 20) + EPS)),
+        "idio_tail_risk": -(roll("q0.05", 20, resid, mp=10) / (nz(std(resid, 20)) + EPS)),
         "idio_jump_freq": -sma(when(absolute(resid).gt(2.5 * (idio + EPS)), 1.0, 0.0), 20),
         "beta_stability": -absolute(sma(b.beta, w.month) - lag(sma(b.beta, w.month), w.month)),
         "micro_noise": -(sma(square(ret), 20) / (parkinson + EPS)),
-        "quality_score": 0.4 / (atr + EPS) + 0.3 * b.adv_rel + 0.3 / (idio + EPS),
+        "quality_score": nz(0.4 / (atr + EPS) + 0.3 * adv / (cs("avg", adv) + EPS) + 0.3 / (idio + EPS)),  # 0 until the volume's window is full
     }
     out["value"] = {"value_score": -(close / sma(close, w.value) - 1), "value_mom": m * nz(reversal), "quality_defensive": b.adv_rel * inv_vol}
     out["cross_section"] = {"rel_sector_mom": b.rel(nz(sma(ret, w.sector))), "cross_volatility": b.rel(nz(std(ret, w.idio))), "cross_liquidity": b.rel(b.adv)}

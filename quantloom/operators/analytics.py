@@ -226,7 +226,7 @@ def rolling_tail_risk(d):
 
 
 def regime_series(d):
-    return f"select time, regime, {r('vol8', 8)} vol from {regimes(d)} x"
+    return f"select time, regime, {r('vol', 8)} vol, vol_z + 0.0 vol_z, trend_corr + 0.0 trend_corr, skew + 0.0 skew from {regimes(d)} x"
 
 
 def regime_performance(d):

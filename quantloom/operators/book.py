@@ -95,10 +95,26 @@ def curve(x: str = "r", by: str = "") -> str:
     return f"exp(sum(ln(1 + {x})) over ({part}order by time rows between unbounded preceding and current row))"
 
 
-def regimes(d: Dialect) -> str:
-    """Series with a regime: calm and crisis by the deviation over 8 bars against its own past, trend by the mean."""
-    return f"""(select *, case when vol8 is null or vol_avg is null then 'normal' when vol8 < 0.7 * vol_avg then 'calm' when vol8 > 1.6 * vol_avg then 'crisis' when abs(mean8) > vol8 / 2 then 'trend' else 'normal' end regime
- from (select *, avg(vol8) over {window(52)} vol_avg from (select *, case when count(r) over {window(8)} >= 8 then round(stddev_samp(r) over {window(8)}, 10) end vol8, round(avg(r) over {window(8)}, 10) mean8 from {series(d)} x) y) z)"""
+def regimes(d: Dialect, lookback: int = 52, short: int = 13, source: str | None = None) -> str:
+    """Series (time, r) with a regime, columns vol, vol_z, trend_corr and skew beside it.
+
+    vol is the annualised deviation of ``lookback`` bars, vol_z its distance from
+    its own mean of ``short`` bars, trend_corr the correlation of returns with the
+    lagged mean of ``lookback`` bars, skew that of the population; each needs a full
+    window. Calm (vol_z below -0.5) goes before trend (correlation above 0.3, vol_z
+    not above 1), that before crisis (vol_z above 1, skew below -0.5). The defaults
+    are a year and a quarter of weekly bars (252 and 63 of daily ones).
+    """
+    full = lambda x, v, n: f"case when count({v}) over {window(n)} >= {n} then {x} over {window(n)} end"
+    one = f"(select *, {full('stddev_samp(r)', 'r', lookback)} * sqrt(252e0) vol, {full('avg(r)', 'r', lookback)} trend from {source or series(d)} x)"
+    two = f"(select *, coalesce(lag(trend) over (order by time), 0e0) past from {one} y)"
+    moments = ", ".join(f"{full(f'avg(power(r, {k}))', 'r', short)} m{k}" for k in (1, 2, 3))
+    z = f"(vol - {full('avg(vol)', 'vol', short)}) / ({full('stddev_samp(vol)', 'vol', short)} + 1e-12)"
+    spread = lambda v: f"(case when stddev_samp({v}) over {window(short)} > 1e-12 then stddev_samp({v}) over {window(short)} end)"
+    corr = f"{full('covar_samp(r, past)', 'r', short)} / ({spread('r')} * {spread('past')})"
+    three = f"(select *, round({z}, 8) vol_z, round({corr}, 8) trend_corr, {moments} from {two} z)"
+    four = f"(select *, round((m3 - 3 * m1 * m2 + 2 * power(m1, 3)) / nullif(power(greatest(m2 - m1 * m1, 0e0), 1.5e0), 0), 8) skew from {three} u)"
+    return f"(select *, case when vol_z < -0.5 then 'calm' when abs(trend_corr) > 0.3 and coalesce(vol_z, 0) <= 1 then 'trend' when vol_z > 1 and skew < -0.5 then 'crisis' else 'normal' end regime from {four} v)"
 
 
 PERFORMANCE = """count(*) n, round(avg({r}) * 252, 6) + 0.0 ann_return, round(stddev_pop({r}) * sqrt(252.0), 6) + 0.0 ann_vol, round(avg({r}) / nullif(stddev_pop({r}), 0) * sqrt(252.0), 5) + 0.0 sharpe,

@@ -154,10 +154,11 @@ def exchange_benchmarks(d):
 
 
 def risk_overlay(d):
-    """Scale by each asset's volatility and drawdown."""
+    """Scale by each asset's volatility and the market's drawdown."""
     b = X.Base()
     vol = X.roll("std", 63, b.ret, mp=1) * 252**0.5 + 1e-12
-    growth = X.fn("exp", X.cum("sum", X.fn("ln", 1 + b.ret)))
+    market = X.cs("avg", X.nz(b.ret))
+    growth = X.fn("exp", X.cum("sum", X.fn("ln", 1 + market)))
     peak = X.roll("max", 126, growth, mp=1)
     by_vol = X.when(vol.gt(0.22), 0.16 / 0.22, X.clip(0.16 / vol, 0.5, 1.25))
     by_dd = X.clip(1 - 0.6 * (peak - growth) / (peak + 1e-12), 0.55, 1.25)
@@ -221,9 +222,11 @@ def cost_by_month(d):
 
 
 def cost_by_size(d):
-    """Trades in five buckets of size by quantile."""
-    trades = f"(select abs(w - wl) x, atr / nullif(close, 0) a from {book(d)} b where abs(w - wl) > 1e-12)"
-    return f"select case when x <= 0.0801e0 then 'S' when x <= 0.1201e0 then 'M' else 'L' end size, count(*) trades, {r('sum(x)')} turnover, {r('sum(x) * 10e-4')} cost from {trades} t group by case when x <= 0.0801e0 then 'S' when x <= 0.1201e0 then 'M' else 'L' end"
+    """Trades in five buckets of size by quantile; where quantiles are equal, the lower bucket has their trades."""
+    trades = f"(select abs(w - wl) x from {book(d)} b where abs(w - wl) > 1e-12)"
+    edges = f"(select {', '.join(f'round(percentile_cont(0.{k}) within group (order by x), 10) q{k}' for k in (2, 4, 6, 8))} from {trades} t)"
+    bucket = "case when x <= q2 then 'XS' when x <= q4 then 'S' when x <= q6 then 'M' when x <= q8 then 'L' else 'XL' end"
+    return f"select size_bucket, {r('avg(x) * 100')} avg_delta_pct, {r('sum(x) * 10e-4')} total_tc, {r('avg(x * 10e-4) / (avg(x) + 1e-12) * 1e4')} avg_tc_bps, count(*) n_trades from (select round(x, 10) x, {bucket.replace('x <=', 'round(x, 10) <=')} size_bucket from {trades} t cross join {edges} e) u group by size_bucket"
 
 
 def cost_sensitivity(d):
