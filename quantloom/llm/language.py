@@ -29,7 +29,7 @@ from .common import bounded_batches, by_chunk, chunks, tidily, utf8
 
 HIDDEN, STEPS, BATCH = 8, 300, 192
 SAMPLE_DOCS, SAMPLE_WINDOWS, STRETCH = 300, 24, 64
-WINDOW, CONTEXT, ROWS = 256, 32, 1024  # positions, bytes on either side, windows that advance together
+WINDOW, CONTEXT, ROWS = 512, 24, 1024  # positions, bytes on either side, windows that advance together
 CHUNK = 1 << 20  # text bytes of one pass
 NONE = "none"
 ODDS = 20.0  # a text is rejected where NONE is more than so many times as likely as the best language

@@ -325,14 +325,18 @@ def exact_links(batches, percent: int):
                     shared = shared[:, ::-1]
             else:
                 shared = _shared(data[off[i] : off[j]], np.repeat(np.arange(j - i), size), head, j - i)
-            alike = 100 * shared >= percent * (size[head][:, None] + size[None, :] - shared)
+            alike = np.empty(shared.shape, bool)
+            for lo in range(0, len(head), 256):  # wide integers for some rows at a time
+                some = shared[lo : lo + 256].astype(np.int64)
+                alike[lo : lo + 256] = (100 + percent) * some >= percent * (size[head[lo : lo + 256]][:, None] + size[None, :])
+            del shared
             alike[np.arange(len(head)), head] = False
-            label = np.arange(j - i)
+            label, none = np.arange(j - i, dtype=np.int32), np.int32(j - i)
             while True:  # least label of a node's similar ones, both ways, until nothing changes
                 new = label.copy()
-                np.minimum(new[head], np.where(alike, label[None, :], j - i).min(1), out=(low := new[head]))
+                np.minimum(new[head], np.where(alike, label[None, :], none).min(1), out=(low := new[head]))
                 new[head] = low
-                np.minimum(new, np.where(alike, new[head][:, None], j - i).min(0), out=new)
+                np.minimum(new, np.where(alike, new[head][:, None], none).min(0), out=new)
                 if (new == label).all():
                     break
                 label = new
@@ -354,7 +358,7 @@ def _shared(items: np.ndarray, row: np.ndarray, head: np.ndarray, rows: int) ->
     token = np.cumsum(new) - 1
     common = np.bincount(token)[token] > 1  # what only one set has is in no intersection
     token, row = token[common], row[common]
-    out = np.zeros((len(head), rows), np.int64)
+    out = np.zeros((len(head), rows), np.int32)
     if not len(token):
         return out
     starts = np.ones(len(token), bool)
@@ -365,7 +369,7 @@ def _shared(items: np.ndarray, row: np.ndarray, head: np.ndarray, rows: int) ->
         a, b = np.searchsorted(token, [lo, lo + wide])
         m = np.zeros((rows, wide), np.float32)
         m[row[a:b], token[a:b] - lo] = 1
-        out += np.rint(m[head] @ m.T).astype(np.int64)
+        out += np.rint(m[head] @ m.T).astype(np.int32)
     return out
 
 
