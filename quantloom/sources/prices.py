@@ -19,7 +19,7 @@ class _Page(InputPartition):
 
 
 class EodReader(DataSourceReader):
-    """A task per group of symbols; pages are fetched until a short one. ``url`` holds {symbols}, {date_from}, {date_to}, {offset} and {limit}."""
+    """A task per group of symbols; pages are fetched until a short one. ``url`` holds {symbols}, {date_from}, {date_to}, {offset} and {limit}; requests of a task start at least ``delay`` seconds apart."""
 
     def __init__(self, options: dict):
         self.options = options
@@ -34,9 +34,13 @@ class EodReader(DataSourceReader):
         from urllib.request import urlopen
 
         limit, offset = int(self.options.get("limit", 1000)), 0
+        delay, asked = float(self.options.get("delay", 0)), None
         while True:
             url = self.options["url"].format(symbols=",".join(partition.symbols), date_from=self.options.get("date_from", ""), date_to=self.options.get("date_to", ""), offset=offset, limit=limit)
             for attempt in range(3):
+                if asked is not None:
+                    time.sleep(max(0.0, asked + delay - time.monotonic()))
+                asked = time.monotonic()
                 try:
                     with urlopen(url, timeout=30) as answer:
                         rows = json.load(answer)["data"]
@@ -146,14 +150,25 @@ def chunks(start: date, end: date, trading_days: int = 756) -> list[tuple[date,
     return out
 
 
-def ingest(w: Warehouse, fetch: Callable[[date, date], DataFrame], start: date, end: date, table: str = "ohlcv") -> str:
-    """Fetch what the range lacks, chunk by chunk, insert what is new and log the run; a chunk that fails does not stop the others."""
+def most_recent(rows: DataFrame, key: str = "symbol") -> DataFrame:
+    """The last row of every symbol."""
+    return rows.filter("date is not null").groupBy(key).agg(F.max_by(F.struct(*rows.columns), "date").alias("r")).select("r.*")
+
+
+def ingest_metrics(w: Warehouse, listed: DataFrame, fetch: Callable[[date, date], DataFrame], start: date, end: date, table: str = "metric_values") -> str:
+    """Keep what is known of metrics (``listed``: metric and more), then fetch what their values (metric, date, value) lack; a value fetched again replaces the old one."""
+    w.upsert("metrics", listed, ("metric",))
+    return ingest(w, fetch, start, end, table, ("metric", "date"), replace=True)
+
+
+def ingest(w: Warehouse, fetch: Callable[[date, date], DataFrame], start: date, end: date, table: str = "ohlcv", keys: tuple[str, ...] = ("asset", "date"), replace: bool = False) -> str:
+    """Fetch what the range lacks, chunk by chunk, insert what is new (``replace``: rows of a known key too) and log the run; a chunk that fails does not stop the others."""
     have = w.read(table).agg(F.min("date"), F.max("date")).first() if w.exists(table) else (None, None)
     good, bad, errors = 0, 0, []
     for a, b in gaps(have[0], have[1], start, end):
         for lo, hi in chunks(a, b):
             try:
-                w.insert_ignore(table, fetch(lo, hi), ("asset", "date"))
+                (w.upsert if replace else w.insert_ignore)(table, fetch(lo, hi), keys)
                 good += 1
             except Exception as e:  # noqa: BLE001 - a source may fail in any way; the log keeps what it said
                 bad += 1
