@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, huffman, language, near_dup, packing, secret_scan, vptree, warc, weak_quality
+from . import bpe, huffman, language, lexical, near_dup, packing, runs, secret_scan, templates, vptree, warc, weak_quality
 from .common import table
 
 VOCABULARY = 50_257
@@ -65,8 +65,20 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_by_curve(table(spark, sf_dir, "documents"), p.path("byte_bpe_50k.json"), p.PATTERN).drop("ids", "curve_key")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.collapse_runs(table(spark, sf_dir, "documents"), source=runs.injected, outputs=False)
+
+
+def op12_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op2_vantage_point, op3_suffix_dedup, op4_chosen_path, op5_huffman, op6_secrets, op7_byte_bpe, op8_weak_quality, op9_language, op10_curve_packing)
+    found = (op1_warc, op2_vantage_point, op3_suffix_dedup, op4_chosen_path, op5_huffman, op6_secrets, op7_byte_bpe, op8_weak_quality, op9_language, op10_curve_packing, op11_periodic_runs, op12_impact_search, op13_template_text)
     return {f.__name__: f for f in found}
 
 
@@ -93,4 +105,4 @@ select doc_id, n_shingles, component_id, doc_id = component_id kept from n join
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": WARC_SQL, "op2_vantage_point": VECTOR_SQL, "op4_chosen_path": NEAR_SQL, "op6_secrets": secret_scan.oracle()}
+    return {"op1_warc": WARC_SQL, "op2_vantage_point": VECTOR_SQL, "op4_chosen_path": NEAR_SQL, "op6_secrets": secret_scan.oracle(), "op12_impact_search": lexical.ORACLE}

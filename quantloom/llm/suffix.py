@@ -128,6 +128,12 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     for k in range(8):
         key <<= np.uint64(8)
         key |= wide[k : n + k]
+    return sorted_suffixes(key, 8)
+
+
+def sorted_suffixes(key: np.ndarray, h: int) -> np.ndarray:
+    """Suffixes in order, given a key that ranks them by their first ``h`` letters."""
+    n = len(key)
     sa = np.argsort(key).astype(np.int32)
     key = key[sa]
     head = np.ones(n, bool)
@@ -135,7 +141,6 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     group = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.int32), np.int32(0)))
     rank = np.empty(n, np.int32)
     rank[sa] = group
-    h = 8
     while True:
         single = head.copy()
         single[:-1] &= head[1:]
