@@ -7,13 +7,11 @@ over as a table, so a stream can be compared with its twin.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dsl import Dialect
+from ..shared import fresh_path
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -54,8 +52,7 @@ def without_duplicates(events: DataFrame) -> DataFrame:
 def available_now(result: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a stream over all files that are there; returns its last result as a table in the shared folder."""
     spark = result.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quantloom-stream-")
-    where = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    where = fresh_path(spark, "stream")
 
     def keep(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{where}/out")
