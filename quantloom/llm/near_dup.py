@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import binary_array, by_chunk, drop_stored, mix64, stored, tidily, utf8
@@ -66,8 +66,13 @@ def node_ids(row: np.ndarray, h: np.ndarray, docs: int) -> np.ndarray:
     return mix64(total).view(np.int64)
 
 
+def text_mark(text: str) -> Column:
+    """64 bits of a digest of a whole text: with the key they tell rows apart."""
+    return F.xxhash64(F.sha2(F.col(text), 256))
+
+
 def sketched(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n, node, roots, sketch) of every row; the last three null for empty sets. Roots are 32-bit tokens, one a tree; sketches hold 8 bits of every coordinate."""
+    """(doc_id, mark, n, node, roots, sketch) of every row; the last three null for empty sets. Roots are 32-bit tokens, one a tree; sketches hold 8 bits of every coordinate."""
 
     def run(batches):
         def work(rows, data, offsets):
@@ -82,11 +87,11 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
             thin = binary_array(short, np.full(docs, COORDS))
             empty = pa.nulls(docs, pa.binary())
             keep = pa.array(~none)
-            return pa.RecordBatch.from_arrays([rows.column(0), pa.array(n.astype(np.int64)), node, pc.if_else(keep, wide, empty), pc.if_else(keep, thin, empty)], names=["doc_id", "n", "node", "roots", "sketch"])
+            return pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(n.astype(np.int64)), node, pc.if_else(keep, wide, empty), pc.if_else(keep, thin, empty)], names=["doc_id", "mark", "n", "node", "roots", "sketch"])
 
         yield from by_chunk(batches, "text", work, CHUNK)
 
-    return docs.mapInArrow(tidily(run), "doc_id long, n long, node long, roots binary, sketch binary")
+    return docs.withColumn("mark", text_mark("text")).mapInArrow(tidily(run), "doc_id long, mark long, n long, node long, roots binary, sketch binary")
 
 
 
@@ -428,6 +433,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     is null and they are kept. Rows that repeat a key are documents of their own
     with the same name. Other columns are not read; an empty table gives no rows.
     """
+    out = _labelled(docs, key, text, shingle, percent)
+    return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.col("name").alias("component_id"), F.coalesce(F.col("name") == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without near copies: of every component the row of the least key (of equal keys, the least mark of the text) stays; all columns stay.
+
+    Rows are judged by key and text, so a key with several texts loses only those
+    that resemble another row. Of rows equal in key and text one stays. Rows
+    without words or with a null key all stay.
+    """
+    found = _labelled(docs, key, text, shingle, percent).filter("name is not null and node is not null").select("doc_id", "mark", "group", "name")
+    best = found.filter("doc_id = name").groupBy("group").agg(F.min("mark").alias("best"))
+    # nearly every row is its own component: only the others are joined back
+    gone = found.join(best, "group").filter("doc_id <> name or mark <> best").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
+    lost = gone.alias("gone")
+    same = (F.col(f"docs.{key}").cast("long") == F.col("gone.gone_id")) & (text_mark(f"docs.{text}") == F.col("gone.gone_mark"))
+    kept = docs.alias("docs").join(lost, same, "left_anti")
+    # rows that repeat key and text are copies as well; there are few, so only they are compared
+    twice = stored(docs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col(key).alias("again")), "repeated-ids")
+    if twice.isEmpty():
+        drop_stored(twice)
+        return kept
+    again = F.col(f"docs.{key}") == F.col("twice.again")
+    once, more = (kept.join(twice.alias("twice"), again, how) for how in ("left_anti", "left_semi"))
+    return once.union(more.dropDuplicates([key, text]))
+
+
+def _labelled(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """(doc_id, mark, n, node, group, name) of every row: ``name`` is the least key of its component, which ``group`` tells from others of that key."""
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = stored(sketched(source, shingle), "sketches")
     nodes = stored(rows.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "roots", "sketch")).alias("x")).select("node", F.col("x.doc_id").alias("rep"), "x.roots", "x.sketch"), "nodes")
@@ -459,11 +494,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     # a component's name is the least key among the documents of its nodes
     placed = nodes.select("node", "rep").join(found, "node")
     names = placed.groupBy("component").agg(F.min("rep").alias("name"))
-    labels = placed.join(names, "component").select("node", "name")
-    plain = nodes.join(found, "node", "left_anti").select("node", F.col("rep").alias("name"))
-    out = rows.select("doc_id", "n", "node").join(labels.union(plain), "node", "left")
+    labels = placed.join(names, "component").select("node", F.col("component").alias("group"), "name")
+    plain = nodes.join(found, "node", "left_anti").select("node", F.col("node").alias("group"), F.col("rep").alias("name"))
+    out = rows.select("doc_id", "mark", "n", "node").join(labels.union(plain), "node", "left")
     name = F.when(F.col("doc_id").isNotNull(), F.coalesce("name", "doc_id"))
-    return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), name.alias("component_id"), F.coalesce(name == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "mark", "n", "node", "group", name.alias("name"))
 
 
 def _large_families(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, many: DataFrame, shingle: int, percent: int, grouped) -> DataFrame:

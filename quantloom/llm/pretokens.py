@@ -86,6 +86,9 @@ class PretokenEncoder:
         self.keys, self.slot_of = np.zeros(size, np.uint64), np.zeros(size, np.int32)
         self.flat, self.used, self.n = np.zeros(1 << 19, np.int32), 0, 0
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        # the pre-tokens themselves, as code points one after the other: a hit by hash is compared with its entry
+        self.points, self.points_used = np.zeros(1 << 19, np.uint32), 0
+        self.point_start, self.point_length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
 
     _power = np.ones(1, np.uint64)
     _inverse = np.ones(1, np.uint64)
@@ -123,21 +126,37 @@ class PretokenEncoder:
             h, number, at = h[rest], number[rest], at[rest]
             at = np.where(self.keys[at] != 0, at + 1 & self.mask, at)
 
-    def _learn(self, words: list[str], h: np.ndarray) -> None:
+    def _store(self, words: list[str]) -> np.ndarray:
+        """Numbers of new entries for ``words``."""
         ids = self.encode_words(words)
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        more = int(length.sum())
-        if self.used + more > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(more, self.used), np.int32)])
-        self.flat[self.used : self.used + more] = np.fromiter((x for y in ids for x in y), np.int32, more)
-        if self.n + len(words) > len(self.start):
-            grow = max(len(words), self.n)
-            self.start, self.length = np.concatenate([self.start[: self.n], np.zeros(grow, np.int64)]), np.concatenate([self.length[: self.n], np.zeros(grow, np.int32)])
-        new = slice(self.n, self.n + len(words))
-        self.start[new], self.length[new] = self.used + np.cumsum(length) - length, length
-        self._insert(h, np.arange(self.n, self.n + len(words)))
-        self.used += more
+        new = np.arange(self.n, self.n + len(words))
+        for flat, used, start, length, values, kind in (("flat", "used", "start", "length", ids, np.int32), ("points", "points_used", "point_start", "point_length", [np.frombuffer(w.encode("utf-32-le"), np.uint32) for w in words], np.uint32)):
+            sizes = np.fromiter(map(len, values), np.int64, len(values))
+            at, more = getattr(self, used), int(sizes.sum())
+            held = getattr(self, flat)
+            if at + more > len(held):
+                held = np.concatenate([held[:at], np.zeros(max(more, at), kind)])
+                setattr(self, flat, held)
+            held[at : at + more] = np.concatenate(values) if kind is np.uint32 else np.fromiter((x for y in values for x in y), kind, more)
+            for name, x in ((start, at + np.cumsum(sizes) - sizes), (length, sizes)):
+                column = getattr(self, name)
+                if self.n + len(words) > len(column):
+                    column = np.concatenate([column[: self.n], np.zeros(max(len(words), self.n), column.dtype)])
+                    setattr(self, name, column)
+                column[new] = x
+            setattr(self, used, at + more)
         self.n += len(words)
+        return new
+
+    def _other(self, cp: np.ndarray, begin: np.ndarray, stop: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Pre-tokens that are not the entry found for their hash. ``begin``/``stop`` cover ``cp`` without a gap."""
+        wrong = self.point_length[which] != stop - begin
+        at = np.repeat(self.point_start[which] - begin, stop - begin)
+        at += np.arange(len(cp))
+        differs = self.points[np.minimum(at, len(self.points) - 1)] != cp
+        if differs.any():
+            wrong |= np.logical_or.reduceat(differs, begin)
+        return np.flatnonzero(wrong)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text)."""
@@ -165,8 +184,14 @@ class PretokenEncoder:
             words = [cp[a:b].tobytes().decode("utf-32-le") for a, b in zip(begin[first].tolist(), stop[first].tolist(), strict=True)]
             forget = bool((stop[first] - begin[first] > self.LONG).any())
             for k in range(0, len(words), 50_000):
-                self._learn(words[k : k + 50_000], names[k : k + 50_000])
+                self._insert(names[k : k + 50_000], self._store(words[k : k + 50_000]))
             which[new] = self._find(h[new])
+        other = self._other(cp, begin, stop, which)
+        if len(other):  # equal hashes of different pre-tokens: they get entries that no hash leads to
+            words = [cp[a:b].tobytes().decode("utf-32-le") for a, b in zip(begin[other].tolist(), stop[other].tolist(), strict=True)]
+            distinct = {w: k for k, w in enumerate(dict.fromkeys(words))}
+            which[other] = self._store(list(distinct))[[distinct[w] for w in words]]
+            forget |= any(len(w) > self.LONG for w in words)
         n = self.length[which].astype(np.int64)
         total = np.cumsum(n)
         at = np.arange(int(total[-1]))

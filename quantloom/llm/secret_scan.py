@@ -169,15 +169,12 @@ def redacted(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> Dat
 
 
 def oracle(table: str = "documents") -> str:
-    """The same in DuckDB's SQL: positions from the lengths of what regexp_split_to_array and regexp_extract_all give.
-
-    Its text is kept as it was: "=" belongs to a run, so of keys next to "=" it knows nothing. sf0.001 to sf0.1 hold none.
-    """
+    """The same in DuckDB's SQL: positions from the lengths of what regexp_split_to_array and regexp_extract_all give."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     spans = []
     for rank, (kind, (pattern, least, group)) in enumerate(KINDS.items()):
-        p = quote("[A-Za-z0-9+/=]{40,}" if kind == "key40" else pattern)
-        ok = f"length(m[i]) = 40 and not contains(m[i], '=') and regexp_matches(m[i], '[A-Z]') and regexp_matches(m[i], '[a-z]') and regexp_matches(m[i], '[0-9]')" if kind == "key40" else f"length(regexp_extract(m[i], {p}, {group})) >= {least}"
+        p = quote(pattern)
+        ok = f"length(m[i]) = 40 and regexp_matches(m[i], '[A-Z]') and regexp_matches(m[i], '[a-z]') and regexp_matches(m[i], '[0-9]')" if kind == "key40" else f"length(regexp_extract(m[i], {p}, {group})) >= {least}"
         spans.append(f"""{kind} as (select rid, list({{'s': s, 'r': {rank}, 'kind': '{kind}', 'e': s + n}} order by s) x from (
   select rid, length(m[i]) n, {ok} ok, list_sum([length(y) for y in g[1:i]]) + coalesce(list_sum([length(y) for y in m[1:i-1]]), 0) s
   from (select rid, m, g, unnest(range(1, len(m) + 1)) i from (select rid, regexp_extract_all(t, {p}) m, regexp_split_to_array(t, {p}) g from d where regexp_matches(t, {p})))) where ok group by rid)""")

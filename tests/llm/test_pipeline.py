@@ -82,3 +82,22 @@ def test_entry_lists_the_queries():
     found = __spark_entry__.queries()
     assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in found} and "pipeline" in found
     assert set(__spark_entry__.oracle_sql()) <= set(found)
+
+
+def test_rows_are_known_by_key_and_text(spark):
+    rng = np.random.default_rng(3)
+    t, u, v = (sentence(rng, ["ba", "do", "ki", "lu"], 60) for _ in range(3))
+    rows = [(1, t), (5, t), (5, u), (7, u + " more"), (7, v), (7, v), (8, ""), (8, None), (None, t), (9, v), (None, t)]
+    docs = spark.createDataFrame([(k, x, "en", "s", 1) for k, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, t), (5, u), (7, v), (8, ""), (8, None), (None, t), (None, t)], key=str)
+
+
+def test_stages_of_an_empty_table_and_of_one_text_under_one_key(spark, tmp_path):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    near = " ".join(f"w{k}" for k in range(90))
+    twins = spark.createDataFrame([(4, near, "en", "s", 1), (4, near + " x", "en", "s", 1)], kind)
+    assert corpus_pipeline.near_duplicate_stage(spark, twins, "").count() == 1
+    nothing = twins.filter("false")
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, nothing, str(tmp_path)).count() == 0
