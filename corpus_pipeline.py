@@ -24,13 +24,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the least doc_id (five-word shingles, similarity 0.8)."""
-    verdict = near_dup.near_duplicates(docs, shingle=5, percent=80)
-    kept = docs.join(verdict.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
-    # rows that repeat a doc_id and its text are copies as well; there are few, so only they are compared
-    twice = stored(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
-    if twice.isEmpty():
-        return kept
-    return kept.join(twice, "doc_id", "left_anti").select(*COLUMNS).union(kept.join(twice, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"]))
+    return near_dup.first_of_each(docs, shingle=5, percent=80).select(*COLUMNS)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
