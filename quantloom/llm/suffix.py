@@ -17,7 +17,7 @@ anchors are the only ones that can hold equal windows, wherever they are. So
 
 Shards are of bounded size whatever the input: their number follows the bytes. An
 anchor with very many different runs (a passage in as many variants) is spread by
-the bytes of each window instead.
+128-bit digests of its windows instead, which settle them.
 """
 
 from __future__ import annotations
@@ -310,6 +310,28 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+class _Seen:
+    """First places of runs that a task has met, by fingerprint: a run with an earlier equal in the task is a repeat there already, so a passage of every text sends a few rows a task to its anchor instead of one a piece. Of fixed size: a forgotten run goes to its anchor again."""
+
+    SLOTS = 1 << 17
+
+    def __init__(self):
+        n = self.SLOTS
+        self.anchor, self.print_of = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        self.key, self.x, self.at = np.zeros(n, np.int64), np.zeros(n, np.uint32), np.zeros(n, np.int32)
+
+    def earlier(self, anchor, print_of, key, x, at) -> np.ndarray:
+        """Which runs have an equal one before them (key, mark, place); the others are kept in mind."""
+        slot = (print_of % np.uint64(self.SLOTS)).astype(np.int64)
+        hit = (self.print_of[slot] == print_of) & (self.anchor[slot] == anchor)
+        k, m, p = self.key[slot], self.x[slot], self.at[slot]
+        out = hit & ((k < key) | (k == key) & ((m < x) | (m == x) & (p < at)))
+        new = np.flatnonzero(~out)
+        slot = slot[new]
+        self.anchor[slot], self.print_of[slot], self.key[slot], self.x[slot], self.at[slot] = anchor[new], print_of[new], key[new], x[new], at[new]
+        return out
+
+
 def repeats(docs: DataFrame, total: int) -> tuple[DataFrame, int]:
     """Rows (k: shard of documents, c0 keys, c1 places, c2 marks and windows) of all repeated windows, and the number of shards. ``docs``: (key, text)."""
     shards = _prime(max(3, total // TEXT_SHARD))
@@ -317,6 +339,7 @@ def repeats(docs: DataFrame, total: int) -> tuple[DataFrame, int]:
     opens = max(2, total // OPEN_SHARD)
 
     def find(batches):
+        seen = _Seen()
         for batch in batches:
             for rows, marks, place, data, off in _rows(batch):
                 row, lo, count, anchor = runs(data, off)
@@ -329,8 +352,11 @@ def repeats(docs: DataFrame, total: int) -> tuple[DataFrame, int]:
                 # equal runs of this piece: the first by (key, mark, place) goes to its anchor, the others are repeats already;
                 # equal prints are of one length, so x orders them by mark alone
                 by = np.lexsort((at, x, key, print_of, anchor))
+                by = by[_firsts(anchor[by], print_of[by], key[by], x[by], at[by])]  # a row that repeats key and text is no other document
                 new = _firsts(anchor[by], print_of[by])
                 one, more = by[new], by[~new]
+                again = seen.earlier(anchor[one], print_of[one], key[one], x[one], at[one])
+                one, more = one[~again], np.concatenate([more, one[again]])
                 yield _packed((anchor[one] % np.uint64(anchors)).astype(np.int64), [anchor[one], print_of[one], key[one], at[one], x[one]])
                 if len(more):
                     blank = np.zeros(len(more), np.uint64)
@@ -343,6 +369,7 @@ def repeats(docs: DataFrame, total: int) -> tuple[DataFrame, int]:
             out = [_settled(np.full(len(key), -1 - k), np.zeros(len(key), np.int8), key, at, x, anchor)]
             return pa.Table.from_batches(out, SETTLED)
         by = np.lexsort((at, x, key, print_of, anchor))
+        by = by[_firsts(*(v[by] for v in (anchor, print_of, key, x, at)))]
         anchor, print_of, key, at, x = (v[by] for v in (anchor, print_of, key, at, x))
         group, same = _firsts(anchor), _firsts(anchor, print_of)
         of = np.cumsum(group) - 1
@@ -357,12 +384,16 @@ def repeats(docs: DataFrame, total: int) -> tuple[DataFrame, int]:
     unsure = settled.filter("state > 0")
 
     def send(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        """Bytes of open runs, to the shard of their anchor or of their windows."""
+        """Bytes of open runs, to the shard of their anchor; of anchors with very many runs the windows' digests, to their own shards."""
         out = []
         if right.num_rows and left.num_rows:
             state = np.repeat(right.column(1).to_numpy(), [len(v) // 8 for v in right.column(2).to_pylist()])
             key, at, x, anchor = _unpack(right, (*PLACE, np.uint64), 2)
+            sent = set()
             for name, mark, body in _texts(left):
+                if (name, mark) in sent:  # a row that repeats key and text
+                    continue
+                sent.add((name, mark))
                 mine = np.flatnonzero((key == name) & (x >> np.uint32(7) == mark)) if len(key) < 64 else _between(key, x, name, mark)
                 if not len(mine):
                     continue
@@ -371,13 +402,16 @@ def repeats(docs: DataFrame, total: int) -> tuple[DataFrame, int]:
                 first = place[~wide]
                 n = count[~wide]
                 target = (mix64(anchor[mine][~wide]) % np.uint64(opens)).astype(np.int64)
-                if wide.any():
-                    each = np.repeat(place[wide], count[wide]) + np.arange(int(count[wide].sum())) - np.repeat(np.cumsum(count[wide]) - count[wide], count[wide])
-                    hashes = np.fromiter((int.from_bytes(hashlib.blake2b(body[p : p + WINDOW].tobytes(), digest_size=7).digest(), "little") for p in each.tolist()), np.int64, len(each))
-                    first, n, target = np.concatenate([first, each]), np.concatenate([n, np.ones(len(each), np.int64)]), np.concatenate([target, hashes % opens])
                 size = n + WINDOW - 1
                 flat = body[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-                out.append((np.full(len(n), name), first.astype(np.int32), (mark << np.uint32(7) | (n - 1).astype(np.uint32)).astype(np.uint32), target, flat, size))
+                if len(first):
+                    out.append((np.full(len(n), name), first.astype(np.int32), (mark << np.uint32(7) | (n - 1).astype(np.uint32)).astype(np.uint32), target, flat, size))
+                if wide.any():  # a digest of every window, to the shard of the digest
+                    each = np.repeat(place[wide], count[wide]) + np.arange(int(count[wide].sum())) - np.repeat(np.cumsum(count[wide]) - count[wide], count[wide])
+                    raw = body.tobytes()
+                    prints = np.frombuffer(b"".join(hashlib.blake2b(raw[p : p + WINDOW], digest_size=16).digest() for p in each.tolist()), np.uint8)
+                    where = -1 - (prints.view(np.uint64)[::2] % np.uint64(opens)).astype(np.int64)
+                    out.append((np.full(len(each), name), each.astype(np.int32), np.full(len(each), mark << np.uint32(7), np.uint32), where, prints, np.full(len(each), 16)))
         schema = pa.schema([("k", pa.int32()), ("c0", pa.binary()), ("c1", pa.binary()), ("c2", pa.binary()), ("c3", pa.binary())])
         if not out:
             return schema.empty_table()
@@ -392,6 +426,11 @@ def repeats(docs: DataFrame, total: int) -> tuple[DataFrame, int]:
 
     def resolve(t: pa.Table) -> pa.Table:
         key, at, x, text = _unpack(t, (*PLACE, np.uint8))
+        if t.column(0)[0].as_py() < 0:  # windows by their digests
+            d = text.view(np.uint64).reshape(-1, 2)
+            by = np.lexsort((at, x, key, d[:, 1], d[:, 0]))
+            again = by[~_firsts(d[by, 0], d[by, 1])]
+            return pa.Table.from_batches([_packed(key[again] % shards, [key[again], at[again], x[again]])])
         windows = (x & np.uint32(127)).astype(np.int64) + 1
         order = np.empty(len(key), np.int64)
         order[np.lexsort((at, x >> np.uint32(7), key))] = np.arange(len(key))
