@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe, files
@@ -27,6 +27,7 @@ from .common import binary_array, drop_stored, fresh_path, parts_for, stored, ti
 
 MAGIC = b"QLHUF1\0\0"
 MAX_BITS, BLOCK, LANE = 18, 1 << 16, 256
+BLOCK = 4096  # files whose places one window sums up
 FILE_BYTES = 24 << 20  # ids (as stored, compressed) that one file takes, about
 
 
@@ -181,13 +182,13 @@ def _with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndar
     return out, n
 
 
-def write_token_files(docs: DataFrame, path: str, pattern: str, vocabulary: int, end_id: int = 0, key: str = "doc_id", text: str = "text") -> list[tuple[str, int, int, int]]:
-    """Encode every text, write the ids in ascending order of ``key``; returns (file, its first id's place, documents, ids) in that order.
+def write_token_files(docs: DataFrame, path: str, pattern: str, vocabulary: int, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Encode every text, write the ids in ascending order of ``key``; returns a stored table (part, file, start, docs, ids), a row per file: ``start`` is its first id's place.
 
     Documents with equal keys follow each other in the order of their ids; a null
     key sorts first and stays null (its count is stored below zero); a null text gives the end
     id alone; an empty table gives no files. What reaches the driver are the
-    counts by id (bounded by the vocabulary) and a line per file.
+    counts by id, bounded by the vocabulary; places are running sums in Spark.
     """
     spark = docs.sparkSession
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
@@ -227,19 +228,26 @@ def write_token_files(docs: DataFrame, path: str, pattern: str, vocabulary: int,
     n_bytes = int(totals.sum()) * width
     parts = ids.repartitionByRange(parts_for(n_bytes, FILE_BYTES), key).sortWithinPartitions(key, "ids")
     manifest = stored(parts.mapInArrow(tidily(write), "part long, file string, docs long, ids long"), "huffman-manifest")
-    place, out = 0, []
-    for r in manifest.orderBy("part").collect():
-        out.append((r.file, place, r.docs, r.ids))
-        place += r.ids
     drop_stored(ids)
-    return out
+    placed = stored(_placed(manifest), "huffman-files")
+    drop_stored(manifest)
+    return placed
 
 
-def read_token_files(spark, listed: list[tuple[str, int, int, int]], key: str = "doc_id") -> DataFrame:
-    """Per document, decoded from the files: key, start, n_tokens, ids_crc32."""
+def _placed(manifest: DataFrame) -> DataFrame:
+    """Adds ``start``, the ids of all parts before: a running sum within blocks of BLOCK parts, and one over the blocks."""
+    blocks = manifest.withColumn("block", F.floor(F.col("part") / BLOCK))
+    sums = blocks.groupBy("block").agg(F.sum("ids").alias("all"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per BLOCK files
+    sums = sums.select("block", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("base") + F.coalesce(F.sum("ids").over(inside), F.lit(0))
+    return blocks.join(sums, "block").select("part", "file", start.cast("long").alias("start"), "docs", "ids")
+
+
+def read_token_files(listed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Per document, decoded from the files that the table of :func:`write_token_files` names: key, start, n_tokens, ids_crc32."""
     schema = f"{key} long, start long, n_tokens long, ids_crc32 long"
-    if not listed:
-        return spark.createDataFrame([], schema)
 
     def read(batches):
         for b in batches:
@@ -261,5 +269,5 @@ def read_token_files(spark, listed: list[tuple[str, int, int, int]], key: str =
                 start = base + np.cumsum(counts) - counts
                 yield pa.RecordBatch.from_arrays([pa.array(docs, mask=unnamed), pa.array(start), pa.array(counts), pa.array(crc)], names=[key, "start", "n_tokens", "ids_crc32"])
 
-    names = spark.createDataFrame([x[:2] for x in listed], "file string, base long")
-    return names.repartition(len(listed)).mapInArrow(tidily(read), schema)
+    tasks = max(1, listed.count())
+    return listed.select("file", "start").repartition(tasks).mapInArrow(tidily(read), schema)

@@ -40,7 +40,7 @@ def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _tokenizers()
     written = huffman.write_token_files(table(spark, sf_dir, "documents"), p.path("byte_bpe_50k.json"), p.PATTERN, VOCABULARY)
-    return huffman.read_token_files(spark, written)
+    return huffman.read_token_files(written)
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ def test_byte_bpe(docs):
 
 
 def test_token_files(spark, docs):
-    for r in huffman.read_token_files(spark, huffman.write_token_files(docs, JSON, P.PATTERN, 50_257)).collect():
+    for r in huffman.read_token_files(huffman.write_token_files(docs, JSON, P.PATTERN, 50_257)).collect():
         want = [*ids_of(dict(ROWS)[r.doc_id]), 0]
         assert (r.n_tokens, r.ids_crc32) == (len(want), crc(want))
 

@@ -41,13 +41,13 @@ def crc(ids):
 
 def test_token_files(spark, docs, nothing, monkeypatch):
     monkeypatch.setattr(huffman, "FILE_BYTES", 20_000)
-    rows = huffman.read_token_files(spark, huffman.write_token_files(docs, JSON, P.PATTERN, 50_257)).orderBy("start").collect()
+    rows = huffman.read_token_files(huffman.write_token_files(docs, JSON, P.PATTERN, 50_257)).orderBy("start").collect()
     place = 0
     for r, (k, t, _) in zip(rows, sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0)), strict=True):
         want = [*ids_of(t), 0]
         assert tuple(r) == (k, place, len(want), crc(want))
         place += len(want)
-    assert huffman.read_token_files(spark, huffman.write_token_files(nothing, JSON, P.PATTERN, 50_257)).count() == 0
+    assert huffman.read_token_files(huffman.write_token_files(nothing, JSON, P.PATTERN, 50_257)).count() == 0
 
 
 def test_packing(docs, nothing, monkeypatch):
@@ -111,6 +111,30 @@ def test_suffix_removal(spark, nothing, monkeypatch, wide):
     assert suffix.remove_repeats(nothing).count() == 0
 
 
+def test_rows_that_repeat_key_and_text_are_one_document(spark):
+    once, other = ("".join(np.random.default_rng(n).choice(list("abcdefgh"), n)) for n in (400, 300))
+    rows = [(5, once), (5, once), (9, "ZZ" + once), (9, other), (9, other), (3, once[50:200] + other[:150]), (None, other), (None, other)]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    # null sorts first; 3 holds 150 bytes of the null key's text; 5 repeats 150 of 3
+    assert got == sorted([(5, 400, 150), (5, 400, 150), (9, 402, 400), (9, 300, 300), (9, 300, 300), (3, 300, 150), (None, 300, 0), (None, 300, 0)], key=str)
+
+
+def test_a_passage_of_every_text(spark, monkeypatch):
+    """One passage in 20,000 texts: it stays in the first, and its anchors get a few rows a task."""
+    rng = np.random.default_rng(6)
+    passage = "".join(rng.choice(list("abcdefghij"), 150))
+    rows = spark.range(0, 20_000, 1, 4).selectExpr("id * 7 % 20011 doc_id", f"concat(sha2(string(id), 256), '{passage}', sha2(string(id + 1000000), 256)) text")
+    out = suffix.remove_repeats(rows)
+    first = rows.agg({"doc_id": "min"}).first()[0]
+    assert [r.doc_id for r in out.filter("n_removed = 0").collect()] == [first]
+    assert out.filter("n_removed between 150 and 170").count() == 19_999
+    seen = suffix._Seen()
+    one = np.ones(1, np.uint64)
+    keys = rng.permutation(20_000)
+    left = sum(not seen.earlier(one, one, np.array([k]), np.zeros(1, np.uint32), np.zeros(1, np.int32))[0] for k in keys)
+    assert left < 60  # the running minima of a random order
+
+
 def test_suffix_removal_of_a_text_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix, "CHUNK_BYTES", 1000)
     rows = [(1, passage(5, 7000)), (2, passage(6, 300) + passage(5, 7000)[900:5200] + passage(7, 250))]
