@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_chunk
+from .common import by_chunk, stored
 from .words import Words
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -165,18 +165,20 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     """A row per document: the counts, base_failed, posterior, kept; ``kept`` needs base_failed false and a posterior of ``threshold``.
 
     A null or empty text has no words and fails; rows may repeat, each counts; an
-    empty table gives no rows; other columns are not read. No shuffle of texts:
-    one pass counts patterns, a second applies their posteriors.
+    empty table gives no rows; other columns are not read; rows of a null key are
+    documents too and keep it. Texts are read once: their counts are stored, from
+    which patterns and then verdicts follow. A column of the key's type named like
+    one of the counts is no matter, as only the key is taken along.
     """
     names = [f"vote_{n}" for n, _, _ in RULES]
-    votes = voted(counted(docs, key, text))
+    votes = voted(stored(counted(docs, key, text), "counts"))
     found = votes.groupBy(*names).count().collect()  # patterns of votes: at most 3**RULES, a few hundred in practice
     table = np.array([[r[n] for n in names] for r in found], np.int64).reshape(-1, len(names))
     _, _, posterior = expectation_maximisation(table, np.array([r["count"] for r in found], float))
     digits = [3**k for k in range(len(names))]
-    by_code = {int((row + 1) @ digits): float(p) for row, p in zip(table, posterior, strict=True)}
-    lookup = F.create_map(*(F.lit(x) for kv in sorted(by_code.items()) for x in kv)) if by_code else F.create_map(F.lit(0), F.lit(1.0))
-    pattern = sum(((F.col(n) + 1) * d for n, d in zip(names, digits, strict=True)), F.lit(0))
+    rows = [(int((row + 1) @ digits), float(p)) for row, p in zip(table, posterior, strict=True)]
+    verdicts = docs.sparkSession.createDataFrame(rows, "pattern int, posterior double")  # a row per pattern found, 3**RULES at most
+    pattern = sum(((F.col(n) + 1) * d for n, d in zip(names, digits, strict=True)), F.lit(0)).cast("int")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = votes.withColumn("posterior", F.element_at(lookup, pattern)).withColumn("base_failed", failed)
+    out = votes.withColumn("pattern", pattern).join(F.broadcast(verdicts), "pattern").withColumn("base_failed", failed)
     return out.select(key, *BASE, "base_failed", (~F.col("base_failed") & (F.col("posterior") >= threshold)).alias("kept"), "posterior")
