@@ -161,9 +161,9 @@ def risk_contribution(d):
     return f"select b.asset, {r('covar_samp(b.wl * b.ret, s.r) / nullif(var_samp(s.r), 0)')} share, {r(f'stddev_samp(b.wl * b.ret) * {ANN}')} vol from {book(d)} b join {series(d)} s on b.time = s.time cross join {recent} z where b.t > z.t0 group by b.asset"
 
 
-def ex_ante_risk(d):
-    """Volatility of the last book by the covariance of the last 52 bars, with its tracking error against equal weights."""
-    x = f"(select b.time, sum(l.w * b.ret) p, sum((l.w - 1e0 / 25) * b.ret) a from {signals(d)} b join {_last(d)} l on l.asset = b.asset where b.t > (select max(t) - 52 from {signals(d)} y) group by b.time)"
+def realised_book_risk(d):
+    """Deviation of what the last book would have earned over the last 52 bars, and of its difference from equal weights."""
+    x = f"(select b.time, sum(l.w * b.ret) p, sum(l.w * b.ret) - avg(b.ret) a from {signals(d)} b join {_last(d)} l on l.asset = b.asset where b.t > (select max(t) - 52 from {signals(d)} y) group by b.time)"
     return f"select {r(f'stddev_samp(p) * {ANN}')} vol, {r(f'stddev_samp(a) * {ANN}')} tracking_error from {x} x"
 
 

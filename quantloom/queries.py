@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import dsl
 from .functions import factors as X
-from .operators import analytics, book, monitor, portfolio, warehouse
+from .operators import analytics, book, monitor, portfolio, studies, warehouse
 from .plans import panel, strategies
 from .streaming import bars as stream
 
@@ -108,9 +108,9 @@ def queries() -> dict[str, Query]:
     out = {name: _text_query(text) for name, text in TEXTS.items()}
     out |= {"factor_panel": factor_panel, "factor_registry": factor_registry, "strategy_catalogue": strategy_catalogue, "strategy_diagnostics": strategy_diagnostics}
     out |= {f"strategy_{n}": _strategies(n) for n in strategies.STRATEGIES}
-    out |= {f.__name__: f for f in stream.STREAMS} | monitor.QUERIES
+    out |= {f.__name__: f for f in stream.STREAMS} | monitor.QUERIES | studies.QUERIES
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text(dsl.DUCK) for name, text in TEXTS.items()} | stream.ORACLES | monitor.oracles()
+    return {name: text(dsl.DUCK) for name, text in TEXTS.items()} | stream.ORACLES | monitor.oracles() | studies.oracles()
