@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dsl import DUCK, Dialect
+from ..functions.special import t_p_value
 from .book import bars, book, regimes, series, signals
 from .construct import capped_simplex
+from .inference import t_p_sql
 from .portfolio import _ic
 
 YEAR = 252**0.5
@@ -101,7 +103,7 @@ def position_alerts(positions: DataFrame, most: float = 0.1, loss: float = -0.01
 
 
 def scorecard(returns: DataFrame, least: int = 20) -> DataFrame:
-    """(time, asset, ret) to a row per asset of ratios, tail, moments and the t-statistic; zeros below ``least`` rows. A value at risk is the 5 % quantile."""
+    """(time, asset, ret) to a row per asset of ratios, tail, moments, the t-statistic and its two-sided p-value; zeros (no p-value) below ``least`` rows. A value at risk is the 5 % quantile."""
     rows = returns.filter("ret is not null")
     order = Window.partitionBy("asset").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
     grown = rows.withColumn("g", F.sum(F.log1p("ret")).over(order)).withColumn("down", F.exp(F.col("g") - F.max("g").over(order)) - 1)
@@ -119,7 +121,8 @@ def scorecard(returns: DataFrame, least: int = 20) -> DataFrame:
         **{c: F.col(c) for c in ("var_95", "cvar_95", "max_drawdown", "worst", "skewness", "kurtosis")},
         "t_stat": F.when(F.col("vol") > 1e-12, F.col("mean") / 252 / (F.col("vol") / YEAR / F.sqrt(F.col("n")))),
     }
-    return s.select("asset", "n", *(F.when(F.col("n") < least, 0.0).otherwise(v).alias(c) for c, v in values.items()))
+    out = s.select("asset", "n", *(F.when(F.col("n") < least, 0.0).otherwise(v).alias(c) for c, v in values.items()))
+    return out.withColumn("p_value", F.when((F.col("n") >= max(least, 2)) & F.col("t_stat").isNotNull(), t_p_value(F.col("t_stat"), F.col("n") - 1)))
 
 
 def signal_quality(positions: DataFrame, horizons: int = 21, least: int = 20) -> DataFrame:
@@ -306,6 +309,7 @@ def oracles() -> dict[str, str]:
     roll = "over (partition by asset order by time rows between 62 preceding and current row)"
     pair = f"(select x.time, x.asset, x.w * y.w * covar_samp(p.ret, o.ret) * 252 c from {b} x join {b} y on x.time = y.time and abs(x.w) > 1e-12 and abs(y.w) > 1e-12 and x.t >= 63 join {b} p on p.asset = x.asset and p.t between x.t - 63 and x.t - 1 join {b} o on o.asset = y.asset and o.t = p.t group by x.time, x.asset, y.asset, x.w, y.w)"
     part = f"(select time, asset, sum(c) c, row_number() over (partition by time order by abs(sum(c)) desc) k from {pair} z group by time, asset)"
+    stat = "(ar / 252 / (av / sqrt(252) / sqrt(n)))"
     cost = lambda v: q(f"sum(ln(1 + greatest({v} * (r - turnover * bps / 1e4), -0.99)))", 5)
     day = f"(select *, (time - lag(time) over (partition by asset order by time))::int gap from {bars(d, unit='day')} x where vol > 0)"
     checks = {"high_below_low": "high < low", "high_below_open": "high < open", "high_below_close": "high < close", "low_above_open": "low > open", "low_above_close": "low > close", "negative_close": "close < 0", "zero_close": "close = 0", "negative_volume": "vol < 0", "zero_volume": "vol = 0", "gaps": "gap > 5", "repeated": "gap = 0"}
@@ -318,7 +322,7 @@ c as (select *, case when n >= 20 then own else coalesce((select avg(spread) fro
 p as (select *, 12.5 + greatest(least(12.5 * zm, 12.5), -12.5) pm, 25 - greatest(least(12.5 * zv, 12.5), -12.5) pv, 20 * up pt, 10 + greatest(least(10 * zr, 10), -10) pr, weight * weight / ((select sum(weight * weight) from c) + 1e-8) * 10 pen, abs(weight) * vol risk from z)
 select sector, {q('weight', 5)} weight, {q('vol', 5)} volatility, {q('recent', 5)} recent_return, {q('up::double', 5)} trend_pct, {q('risk', 5)} risk, {q('100 * risk / ((select sum(risk) from p) + 1e-12)', 5)} risk_pct, {q('pm', 5)} momentum_score, {q('pv', 5)} volatility_score, {q('pt::double', 5)} trend_score, {q('pr', 5)} return_score, {q('pen', 5)} penalty, {q('greatest(least(pm + pv + pt + pr - pen, 100), 0)', 5)} health_score from p""",
         "position_alerts": f"with x as (select *, abs(w - lag(w) over (partition by asset order by time)) d, row_number() over (partition by asset order by time desc) k from {b} y), g as (select asset, abs(arg_max(w, time)) last, round(avg(d) filter (k <= 5), 12) recent, round(avg(d), 12) usual, sum(pnl) pnl from x group by asset) select asset, 'warning' severity, 'concentration' category, {q('last')} \"value\" from g where last > 0.1 union all select asset, 'info', 'turnover', {q('recent')} from g where recent > 2 * usual and usual > 0 union all select asset, case when pnl < 0 then 'warning' else 'info' end, 'profit', {q('pnl')} from g where pnl < -0.01 or pnl > 0.02",
-        "scorecard": f"select asset, n, {', '.join(f'case when n < 20 then 0e0 else {q(v, 5)} end {c}' for c, v in {'sharpe': 'ar / (av + 1e-12)', 'sortino': 'ar / (case when losses > 0 then below else av end + 1e-12)', 'calmar': 'ar / (abs(dd) + 1e-12)', 'var_95': 'v', 'cvar_95': 'tail', 'max_drawdown': 'dd', 'worst': 'worst', 'skewness': 'm3', 'kurtosis': 'm4 - 3', 't_stat': 'case when av > 1e-12 then ar / 252 / (av / sqrt(252) / sqrt(n)) end'}.items())} from (select asset, count(*) n, avg(ret) * 252 ar, stddev_samp(ret) * sqrt(252) av, count(*) filter (ret < 0) losses, stddev_samp(ret) filter (ret < 0) * sqrt(252) below, min(down) dd, any_value(v) v, avg(ret) filter (ret <= v + 1e-12) tail, min(ret) worst, avg(power((ret - m) / nullif(sd, 0), 3)) m3, avg(power((ret - m) / nullif(sd, 0), 4)) m4 from {path} p join {tail} using (asset) join {moments} using (asset) group by asset) u",
+        "scorecard": f"select asset, n, {', '.join(f'case when n < 20 then 0e0 else {q(v, 5)} end {c}' for c, v in {'sharpe': 'ar / (av + 1e-12)', 'sortino': 'ar / (case when losses > 0 then below else av end + 1e-12)', 'calmar': 'ar / (abs(dd) + 1e-12)', 'var_95': 'v', 'cvar_95': 'tail', 'max_drawdown': 'dd', 'worst': 'worst', 'skewness': 'm3', 'kurtosis': 'm4 - 3', 't_stat': f'case when av > 1e-12 then {stat} end'}.items())}, case when n >= 20 and av > 1e-12 then {q(t_p_sql(stat, '(n - 1)'), 5)} end p_value from (select asset, count(*) n, avg(ret) * 252 ar, stddev_samp(ret) * sqrt(252) av, count(*) filter (ret < 0) losses, stddev_samp(ret) filter (ret < 0) * sqrt(252) below, min(down) dd, any_value(v) v, avg(ret) filter (ret <= v + 1e-12) tail, min(ret) worst, avg(power((ret - m) / nullif(sd, 0), 3)) m3, avg(power((ret - m) / nullif(sd, 0), 4)) m4 from {path} p join {tail} using (asset) join {moments} using (asset) group by asset) u",
         "signal_quality": f"select asset, horizon, count(*) n, {corr('w', 'x')} pearson_ic, {corr('rw', 'rx')} rank_ic from {ranks} r group by asset, horizon having count(*) >= 20",
         "hit_rates": f"with f as {follow}, g as (select asset, count(*) n, count(*) filter (w <> 0) held, avg(hit::int) filter (w <> 0) h, coalesce(avg(abs(x)) filter (w <> 0 and hit), 0) a, coalesce(avg(abs(x)) filter (w <> 0 and not hit), 0) z from f group by asset) select asset, held, {', '.join(f'case when n > 20 and held > 10 then {q(v)} end {c}' for c, v in {'hit_rate': 'h', 'mean_right': 'a', 'mean_wrong': 'z'}.items())} from g",
         "returns_against_portfolio": f"select time, asset, {q(f'product(1 + ret) {run} - 1')} growth, {q(f'product(1 + r) {run} - 1')} portfolio from {b} y join (select time, r from {s} x) z using (time)",

@@ -9,6 +9,7 @@ from ..functions.dsl import DUCK, Dialect
 from ..shared import stored
 from . import asof, forecast, indices, inference, risk_model
 from .book import positions, signals, strategies
+from .inference import t_p_sql
 from .monitor import _frame, _rounded
 
 FACTORS = ("score", "quality", "flow")
@@ -88,7 +89,7 @@ def index_panel(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def index_caps(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(indices.index_caps(_index(spark, folder)[1]), (), 4)
+    return _rounded(indices.index_caps(_index(spark, folder)[1]), (), 2)
 
 
 def benchmark_index_equal(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,15 +114,6 @@ def return_forecast(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (ex_ante_risk, factor_risk_contributions, mean_tests, normality_tests, paired_tests, last_purchase, next_error, index_membership, index_panel, index_caps, benchmark_index_equal, benchmark_index_cap, return_forecast)}
 
 
-def t_p_sql(t: str, df: str) -> str:
-    """Two-sided p-value of Student's t for whole degrees of freedom, by its finite series of powers of a cosine."""
-    angle, cosine = f"atan(abs({t}) / sqrt({df}))", f"(1 / sqrt(1 + {t} * {t} / {df}))"
-    sine = f"(abs({t}) / sqrt({df} + {t} * {t}))"
-    odd = f"coalesce(list_sum(list_transform(range(0, ({df} - 1) // 2), lambda k: exp(0.5 * ln(pi()) - ln(2) + lgamma(k + 1) - lgamma(k + 1.5) + (2 * k + 1) * ln({cosine})))), 0)"
-    even = f"list_sum(list_transform(range(0, {df} // 2), lambda k: exp(lgamma(k + 0.5) - 0.5 * ln(pi()) - lgamma(k + 1) + 2 * k * ln({cosine}))))"
-    return f"(1 - case when {df} % 2 = 1 then 2 / pi() * ({angle} + {sine} * {odd}) else {sine} * {even} end)"
-
-
 def oracles() -> dict[str, str]:
     """SQL of the queries but ``return_forecast``, whose fitted trees SQL does not have."""
     d: Dialect = DUCK
@@ -169,7 +161,7 @@ held as (select time, asset, g / sum(g) over (partition by time) w from v)"""
         "next_error": "select e.event_id, e.user_id, e.ts, p.ts right_ts, p.event_id error_id from events e asof left join (select * from events where event_type = 'error') p on e.user_id = p.user_id and e.ts <= p.ts",
         "index_membership": f'{member} select asset, "start", "end" from m',
         "index_panel": f'{member} select time, asset, "start", {q("close")} close, {q("vol")} vol from x',
-        "index_caps": f"{member}{caps} select time, asset, {q('cap', 4)} cap, {q('w', 4)} w from z",
+        "index_caps": f"{member}{caps} select time, asset, {q('cap', 2)} cap, {q('w', 2)} w from z",
         "benchmark_index_equal": f"{member}{dates}{drift} {earned('held')}",
         "benchmark_index_cap": f"{member}{caps}{dates} {earned('z')}",
     }
