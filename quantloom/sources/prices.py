@@ -8,57 +8,109 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 BARS = "symbol string, date date, open double, high double, low double, close double, volume double"
 
 
 class _Page(InputPartition):
-    def __init__(self, symbols: list[str]):
-        self.symbols = symbols
+    def __init__(self, symbols: list[str], first: str = "", last: str = ""):
+        self.symbols, self.first, self.last = symbols, first, last
+
+
+def _groups(options: dict) -> list[list[str]]:
+    symbols = [s.strip() for s in options["symbols"].split(",") if s.strip()]
+    size = int(options.get("group", 50))
+    return [symbols[i : i + size] for i in range(0, len(symbols), size)]
+
+
+def _fetched(options: dict, page: _Page):
+    """Rows of some symbols within the page's dates (open where empty); pages of the service are fetched until a short one."""
+    import time
+    from urllib.request import urlopen
+
+    limit, offset = int(options.get("limit", 1000)), 0
+    delay, asked = float(options.get("delay", 0)), None
+    while True:
+        url = options["url"].format(symbols=",".join(page.symbols), date_from=page.first, date_to=page.last, offset=offset, limit=limit)
+        for attempt in range(3):
+            if asked is not None:
+                time.sleep(max(0.0, asked + delay - time.monotonic()))
+            asked = time.monotonic()
+            try:
+                with urlopen(url, timeout=30) as answer:
+                    rows = json.load(answer)["data"]
+                break
+            except OSError:
+                if attempt == 2:
+                    raise
+                time.sleep(2**attempt)
+        for r in rows:
+            day = r["date"][:10]
+            if r["symbol"] in page.symbols and (not page.first or day >= page.first) and (not page.last or day <= page.last):
+                yield (r["symbol"], date.fromisoformat(day), *(float(r[k]) if r.get(k) is not None else None for k in ("open", "high", "low", "close", "volume")))
+        if len(rows) < limit or "{offset}" not in options["url"]:
+            return
+        offset += limit
 
 
 class EodReader(DataSourceReader):
-    """A task per group of symbols; pages are fetched until a short one. ``url`` holds {symbols}, {date_from}, {date_to}, {offset} and {limit}; requests of a task start at least ``delay`` seconds apart."""
+    """A task per group of symbols. ``url`` holds {symbols}, {date_from}, {date_to}, {offset} and {limit}; requests of a task start at least ``delay`` seconds apart."""
 
     def __init__(self, options: dict):
         self.options = options
 
     def partitions(self):
-        symbols = [s.strip() for s in self.options["symbols"].split(",") if s.strip()]
-        size = int(self.options.get("group", 50))
-        return [_Page(symbols[i : i + size]) for i in range(0, len(symbols), size)]
+        return [_Page(g, self.options.get("date_from", ""), self.options.get("date_to", "")) for g in _groups(self.options)]
 
     def read(self, partition):
-        import time
-        from urllib.request import urlopen
-
-        limit, offset = int(self.options.get("limit", 1000)), 0
-        delay, asked = float(self.options.get("delay", 0)), None
-        while True:
-            url = self.options["url"].format(symbols=",".join(partition.symbols), date_from=self.options.get("date_from", ""), date_to=self.options.get("date_to", ""), offset=offset, limit=limit)
-            for attempt in range(3):
-                if asked is not None:
-                    time.sleep(max(0.0, asked + delay - time.monotonic()))
-                asked = time.monotonic()
-                try:
-                    with urlopen(url, timeout=30) as answer:
-                        rows = json.load(answer)["data"]
-                    break
-                except OSError:
-                    if attempt == 2:
-                        raise
-                    time.sleep(2**attempt)
-            for r in rows:
-                if r["symbol"] in partition.symbols:
-                    yield (r["symbol"], date.fromisoformat(r["date"][:10]), *(float(r[k]) if r.get(k) is not None else None for k in ("open", "high", "low", "close", "volume")))
-            if len(rows) < limit or "{offset}" not in self.options["url"]:
-                return
-            offset += limit
+        yield from _fetched(self.options, partition)
+
+
+class EodStreamReader(DataSourceStreamReader):
+    """The same service as a stream: an offset holds, for every symbol, the last date that was read.
+
+    A batch fetches what lies between two offsets, a task per group of symbols and
+    ``days`` dates. A symbol that is new in the options starts at ``date_from``; one
+    that is gone stays in the offset, so it goes on where it was if it comes back.
+    ``until`` is the last date that the service has (default: today).
+    """
+
+    def __init__(self, options: dict):
+        self.options = options
+
+    def _first(self) -> str:
+        return (date.fromisoformat(self.options["date_from"]) - timedelta(days=1)).isoformat()
+
+    def initialOffset(self) -> dict:
+        return {s: self._first() for g in _groups(self.options) for s in g}
+
+    def latestOffset(self) -> dict:
+        last = self.options.get("until") or date.today().isoformat()
+        return {s: last for g in _groups(self.options) for s in g}
+
+    def partitions(self, start: dict, end: dict):
+        out, days = [], int(self.options.get("days", 756))
+        for group in _groups(self.options):
+            # symbols that stand at one date are asked for together
+            at: dict[tuple[str, str], list[str]] = {}
+            for s in group:
+                if s in end:
+                    at.setdefault((start.get(s, self._first()), end[s]), []).append(s)
+            for (done, last), symbols in at.items():
+                lo, hi = date.fromisoformat(done) + timedelta(days=1), date.fromisoformat(last)
+                while lo <= hi:
+                    stop = min(lo + timedelta(days=days - 1), hi)
+                    out.append(_Page(symbols, lo.isoformat(), stop.isoformat()))
+                    lo = stop + timedelta(days=1)
+        return out
+
+    def read(self, partition):
+        yield from _fetched(self.options, partition)
 
 
 class EodSource(DataSource):
-    """``spark.read.format("eod")`` after ``spark.dataSource.register(EodSource)``."""
+    """``spark.read.format("eod")``, or ``spark.readStream``, after ``spark.dataSource.register(EodSource)``."""
 
     @classmethod
     def name(cls):
@@ -70,6 +122,35 @@ class EodSource(DataSource):
     def reader(self, schema):
         return EodReader(self.options)
 
+    def streamReader(self, schema):
+        return EodStreamReader(self.options)
+
+
+def feed(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None] | None = None) -> None:
+    """Run a stream over all that is there into ``folder``: a part per batch, written whole and over a part of the same batch.
+
+    A batch that is repeated after a crash reads the same offsets and replaces its
+    own part, so nothing is lost and nothing is twice. ``each`` is called after a part
+    is written.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/rows/batch={number}")
+        if each:
+            each(batch, number)
+
+    query = None
+    while query is None or any(p.numInputRows for p in query.recentProgress):  # a run that repeats a batch ends with it
+        query = stream.writeStream.option("checkpointLocation", f"{folder}/state").foreachBatch(keep).trigger(availableNow=True).start()
+        query.awaitTermination()
+
+
+def read_feed(spark: SparkSession, folder: str, keys: tuple[str, ...] = ("symbol", "date"), schema: str = BARS) -> DataFrame:
+    """Rows of a feed, of those that share a key the one of the latest batch; rows with a null key are left out."""
+    rows = spark.read.schema(f"{schema}, batch long").parquet(f"{folder}/rows").filter(" and ".join(f"{k} is not null" for k in keys))
+    names = [c for c in rows.columns if c != "batch"]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*names), "batch").alias("r")).select("r.*")
+
 
 class Warehouse:
     """Tables under one folder. A write goes to a new version; readers see a version only once it is complete."""
