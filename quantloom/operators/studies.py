@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dsl import DUCK, Dialect
 from ..shared import stored
-from . import asof, forecast, indices, inference, risk_model
+from . import allocation, asof, forecast, indices, inference, risk_model
 from .book import positions, signals, strategies
 from .inference import t_p_sql
 from .monitor import _frame, _rounded
@@ -111,11 +111,16 @@ def return_forecast(spark: SparkSession, folder: str) -> DataFrame:
     return forecast.forecast(stored(frame, "features"), names, rule, ("strategy",))[0]
 
 
-QUERIES = {f.__name__: f for f in (ex_ante_risk, factor_risk_contributions, mean_tests, normality_tests, paired_tests, last_purchase, next_error, index_membership, index_panel, index_caps, benchmark_index_equal, benchmark_index_cap, return_forecast)}
+def max_sharpe_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """Three books, none above 0.7."""
+    return _rounded(allocation.max_sharpe(_series(spark, folder), most=0.7), (), 4)
+
+
+QUERIES = {f.__name__: f for f in (ex_ante_risk, factor_risk_contributions, mean_tests, normality_tests, paired_tests, last_purchase, next_error, index_membership, index_panel, index_caps, benchmark_index_equal, benchmark_index_cap, return_forecast, max_sharpe_weights)}
 
 
 def oracles() -> dict[str, str]:
-    """SQL of the queries but ``return_forecast``, whose fitted trees SQL does not have."""
+    """SQL of the queries but ``return_forecast`` and ``max_sharpe_weights``, which are fitted and tested against plain versions."""
     d: Dialect = DUCK
     s, q = signals(d), lambda x, n=6: f"round({x}, {n}) + 0.0"
     risk = f"""with s as (select * from {s} x), top as (select max(time) t from s),

@@ -11,6 +11,7 @@ from .functions import dsl
 from .functions import factors as X
 from .operators import analytics, book, monitor, portfolio, studies, warehouse
 from .plans import panel, strategies
+from .sources import panel_store
 from .streaming import bars as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +109,7 @@ def queries() -> dict[str, Query]:
     out = {name: _text_query(text) for name, text in TEXTS.items()}
     out |= {"factor_panel": factor_panel, "factor_registry": factor_registry, "strategy_catalogue": strategy_catalogue, "strategy_diagnostics": strategy_diagnostics}
     out |= {f"strategy_{n}": _strategies(n) for n in strategies.STRATEGIES}
+    out |= panel_store.READS  # their texts stay as SQL for the other engine
     out |= {f.__name__: f for f in stream.STREAMS} | monitor.QUERIES | studies.QUERIES
     return out
 
