@@ -76,7 +76,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     stops = np.flatnonzero(data == 10)
     begin = np.unique(np.concatenate([offsets[:-1], stops + 1]))
     begin = begin[begin < len(data)]
-    end = np.append(begin[1:], len(data))
+    end = np.append(begin[1:], len(data))[: len(begin)]
     end = end - (data[np.maximum(end - 1, 0)] == 10)
     row = np.searchsorted(offsets, begin, "right") - 1
     solid = np.searchsorted(w.start, end) > np.searchsorted(w.start, begin)
