@@ -310,6 +310,20 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _taken(flat: np.ndarray, start: np.ndarray, size: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """Slices of ``flat`` one after the other, about ``step`` bytes at a time: places are eight times as wide as bytes."""
+    stop = np.cumsum(size)
+    out = np.empty(int(stop[-1]) if len(stop) else 0, flat.dtype)
+    i = 0
+    while i < len(size):
+        base = int(stop[i] - size[i])
+        j = max(i + 1, int(np.searchsorted(stop, base + step, "right")))
+        n = size[i:j]
+        out[base : int(stop[j - 1])] = flat[np.repeat(start[i:j] - (stop[i:j] - n - base), n) + np.arange(int(n.sum()))]
+        i = j
+    return out
+
+
 class _Seen:
     """First places of runs that a task has met, by fingerprint: a run with an earlier equal in the task is a repeat there already, so a passage of every text sends a few rows a task to its anchor instead of one a piece. Of fixed size: a forgotten run goes to its anchor again."""
 
@@ -403,8 +417,8 @@ def repeats(docs: DataFrame, total: int) -> tuple[DataFrame, int]:
                 n = count[~wide]
                 target = (mix64(anchor[mine][~wide]) % np.uint64(opens)).astype(np.int64)
                 size = n + WINDOW - 1
-                flat = body[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
                 if len(first):
+                    flat = _taken(body, first, size)
                     out.append((np.full(len(n), name), first.astype(np.int32), (mark << np.uint32(7) | (n - 1).astype(np.uint32)).astype(np.uint32), target, flat, size))
                 if wide.any():  # a digest of every window, to the shard of the digest
                     each = np.repeat(place[wide], count[wide]) + np.arange(int(count[wide].sum())) - np.repeat(np.cumsum(count[wide]) - count[wide], count[wide])
@@ -420,7 +434,7 @@ def repeats(docs: DataFrame, total: int) -> tuple[DataFrame, int]:
         by = np.argsort(target, kind="stable")
         b = _packed(target, [name, first, x])
         start = np.cumsum(size) - size
-        moved = flat[np.repeat(start[by] - (np.cumsum(size[by]) - size[by]), size[by]) + np.arange(len(flat))]
+        moved = _taken(flat, start[by], size[by])
         sums = np.add.reduceat(size[by], np.flatnonzero(_firsts(target[by])))
         return pa.Table.from_batches([pa.RecordBatch.from_arrays([*b.columns, binary_array(moved, sums)], schema=schema)])
 
