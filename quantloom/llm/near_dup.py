@@ -339,9 +339,12 @@ def exact_links(batches, percent: int):
             label, none = np.arange(j - i, dtype=np.int32), np.int32(j - i)
             while True:  # least label of a node's similar ones, both ways, until nothing changes
                 new = label.copy()
-                np.minimum(new[head], np.where(alike, label[None, :], none).min(1), out=(low := new[head]))
+                low = new[head]
+                for h in range(0, len(head), 256):
+                    np.minimum(low[h : h + 256], np.where(alike[h : h + 256], label[None, :], none).min(1), out=low[h : h + 256])
                 new[head] = low
-                np.minimum(new, np.where(alike, new[head][:, None], none).min(0), out=new)
+                for h in range(0, len(head), 256):
+                    np.minimum(new, np.where(alike[h : h + 256], low[h : h + 256, None], none).min(0), out=new)
                 if (new == label).all():
                     break
                 label = new
@@ -374,7 +377,8 @@ def _shared(items: np.ndarray, row: np.ndarray, head: np.ndarray, rows: int) ->
         a, b = np.searchsorted(token, [lo, lo + wide])
         m = np.zeros((rows, wide), np.float32)
         m[row[a:b], token[a:b] - lo] = 1
-        out += np.rint(m[head] @ m.T).astype(np.int32)
+        for h in range(0, len(head), 256):  # products of bounded size
+            out[h : h + 256] += np.rint(m[head[h : h + 256]] @ m.T).astype(np.int32)
     return out
 
 
