@@ -27,7 +27,7 @@ from .common import binary_array, drop_stored, fresh_path, parts_for, stored, ti
 
 MAGIC = b"QLHUF1\0\0"
 MAX_BITS, BLOCK, LANE = 18, 1 << 16, 256
-BLOCK = 4096  # files whose places one window sums up
+PLACES = 4096  # files whose places one window sums up
 FILE_BYTES = 24 << 20  # ids (as stored, compressed) that one file takes, about
 
 
@@ -235,10 +235,10 @@ def write_token_files(docs: DataFrame, path: str, pattern: str, vocabulary: int,
 
 
 def _placed(manifest: DataFrame) -> DataFrame:
-    """Adds ``start``, the ids of all parts before: a running sum within blocks of BLOCK parts, and one over the blocks."""
-    blocks = manifest.withColumn("block", F.floor(F.col("part") / BLOCK))
+    """Adds ``start``, the ids of all parts before: a running sum within blocks of PLACES parts, and one over the blocks."""
+    blocks = manifest.withColumn("block", F.floor(F.col("part") / PLACES))
     sums = blocks.groupBy("block").agg(F.sum("ids").alias("all"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per BLOCK files
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per PLACES files
     sums = sums.select("block", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("base") + F.coalesce(F.sum("ids").over(inside), F.lit(0))

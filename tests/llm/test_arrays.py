@@ -137,6 +137,23 @@ def test_huffman_code():
     assert one.unpack(one.pack(np.ones(300, int)), 300).tolist() == [1] * 300
 
 
+def test_token_file_blocks_are_wide(tmp_path):
+    """All lanes of a block advance together, so a file of full blocks takes LANE steps for every 65,536 ids."""
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 300, 150_000).astype(np.int32)
+    counts = np.array([70_000, 1, 0, 79_999])
+    path = f"{tmp_path}/a.ids"
+    writer = huffman.Writer(path, huffman.Code(huffman.code_lengths(np.bincount(ids, minlength=300))))
+    ends = np.cumsum(counts)
+    for k, (a, b) in enumerate(zip(ends - counts, ends, strict=True)):
+        writer.add(np.array([k]), counts[k : k + 1], ids[a:b])
+    assert writer.close() == (4, 150_000)
+    (docs, n, _), *blocks = huffman.read_file(path)
+    assert docs.tolist() == [0, 1, 2, 3] and n.tolist() == counts.tolist()
+    assert [len(b[2]) for b in blocks] == [65_536, 65_536, 18_928]
+    assert np.concatenate([b[2] for b in blocks]).tolist() == ids.tolist()
+
+
 def test_hilbert_curve_visits_neighbours():
     side = 8
     cells = np.array(list(itertools.product(range(side), repeat=3)))
