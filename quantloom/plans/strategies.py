@@ -13,7 +13,7 @@ from ..functions import factors as X
 from ..operators import sleeves as V
 from ..operators.construct import Overlay, Rules, build, overlaid, overlay
 from ..shared import drop_stored, stored
-from .panel import panel_sql
+from .panel import panel
 
 
 @dataclass(frozen=True)
@@ -168,14 +168,14 @@ def catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "strategy string, factors int, longs int, shorts int, max_pos double, target_vol double, lev_cap double, cost_bps double, decay double")
 
 
-def factor_table(spark: SparkSession, folder: str, s: Strategy) -> DataFrame:
-    """(time, asset, a column per factor, ret, liquidity, fwd_<h> of every horizon), stored: what the strategy's later steps read."""
+def factor_table(bars: DataFrame, s: Strategy) -> DataFrame:
+    """(time, asset, a column per factor, ret, liquidity, fwd_<h> of every horizon) of a panel, stored: what the strategy's later steps read."""
     known = X.registry(s.windows)
     b = X.Base(s.windows)
     horizons = sorted({s.horizon, s.allocation.horizon, *(h for v in s.sleeves for h in v.horizons)})
     fwd = {f"fwd_{h}": dsl.nz(dsl.fn("exp", dsl.fwd("sum", h, dsl.fn("ln", 1 + b.ret))) - 1) for h in horizons}
     out = {**X.scored({f: known[f][1] for f in s.factors}), **fwd, "ret": b.ret, "liquidity": dsl.col("is_liquid")}
-    return stored(dsl.compute(spark.sql(f"select * from {panel_sql(dsl.Dialect('spark', folder))}"), out), "factors")
+    return stored(dsl.compute(bars, out), "factors")
 
 
 def sleeve_table(table: DataFrame, s: Strategy) -> tuple[DataFrame, DataFrame]:
@@ -194,11 +194,12 @@ def scores(table: DataFrame, s: Strategy) -> DataFrame:
     return total.join(table.select("time", "asset", "ret", "liquidity"), ["time", "asset"]).select(F.lit(s.name).alias("strategy"), "time", "asset", F.round("score", 9).alias("score"), "ret", "liquidity")
 
 
-def run(spark: SparkSession, folder: str, names: tuple[str, ...], regime: DataFrame | None = None, **overrides) -> DataFrame:
-    """Weights (strategy, time, asset, w, budget) of some strategies; ``overrides`` replace fields of their configurations."""
+def run(spark: SparkSession, folder: str, names: tuple[str, ...], regime: DataFrame | None = None, bars: DataFrame | None = None, **overrides) -> DataFrame:
+    """Weights (strategy, time, asset, w, budget) of some strategies over one panel (``bars``, or that of the folder); ``overrides`` replace fields of their configurations."""
     parts = []
+    bars = panel(spark, folder) if bars is None else bars
     for s in (replace(STRATEGIES[n], **overrides) for n in names):
-        table = factor_table(spark, folder, s)
+        table = factor_table(bars, s)
         signals = stored(scores(table, s), "scores")
         book = build(signals, {s.name: s.rules}, regime)
         if s.overlay:

@@ -100,8 +100,9 @@ def strategy_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strategy_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = strategies.run(spark, sf_dir, ("exchange_24", "flow_25"))
-    ret = dsl.compute(panel.panel(spark, sf_dir), {"ret": X.Base().ret})
+    bars = panel.panel(spark, sf_dir)
+    w = strategies.run(spark, sf_dir, ("exchange_24", "flow_25"), bars=bars)
+    ret = dsl.compute(bars, {"ret": X.Base().ret})
     return strategies.diagnostics(w, ret)
 
 

@@ -8,6 +8,7 @@ import pytest
 from quantloom import queries as Q
 from quantloom.functions import dsl
 from quantloom.functions import factors as X
+from quantloom.plans import panel, strategies
 
 FOLDER = "/root/testdata/sf0.001"
 SOME = ("universe_as_of", "date_chunks", "missing_days", "upserted_universe", "insert_ignored", "merged_sources", "price_checks", "rank_ic", "composite_score", "correlation_penalty", "quintile_returns", "kendall_ic", "budget", "cost_schemes", "trade_list", "drawdown", "brinson_by_sector", "regime_durations", "trade_islands", "stock_grades", "factors_reversal", "factors_value", "math_primitives", "batch_sessions", "stream_hourly_bars", "stream_sliding_volume")
@@ -96,3 +97,27 @@ def test_kendall_of_every_date(spark):
     assert sorted(got) == sorted(want) and len(got) > 300
     for time, (tau, pairs) in want.items():
         assert got[time] == (tau if tau is None else pytest.approx(tau, abs=1e-6), pairs)
+
+
+def test_lines_are_read_once(spark, monkeypatch):
+    """The panel stands on stored bars, and strategies of one call share it with their returns."""
+    bars = panel.panel(spark, FOLDER)
+    want = spark.sql(f"select * from {panel.panel_sql(dsl.Dialect('spark', FOLDER))}")
+    lines = lambda df: [f for f in df.inputFiles() if "lineitem" in f]
+    assert lines(want) and not lines(bars)
+    assert bars.dtypes == want.dtypes and bars.exceptAll(want).isEmpty() and want.exceptAll(bars).isEmpty()
+    seen = []
+    monkeypatch.setattr(strategies, "factor_table", lambda b, s: seen.append(b) or b)
+    monkeypatch.setattr(strategies, "scores", lambda t, s: t.selectExpr(f"'{s.name}' strategy", "time", "asset", "0d w", "1d budget"))
+    monkeypatch.setattr(strategies, "build", lambda t, *_: t)
+    monkeypatch.setattr(strategies, "stored", lambda df, _: df)
+    monkeypatch.setattr(strategies, "drop_stored", lambda _: None)
+    out = Q.strategy_diagnostics(spark, FOLDER)
+    assert not lines(out) and len(seen) == 2 and seen[0] is seen[1]
+    assert out.count() == 2 * want.select("time").distinct().count()
+
+
+def test_panel_of_no_lines(spark, tmp_path):
+    spark.read.parquet(f"{FOLDER}/lineitem.parquet").filter("false").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet(f"{FOLDER}/part.parquet").write.parquet(f"{tmp_path}/part.parquet")
+    assert panel.panel(spark, str(tmp_path)).count() == 0
